@@ -224,6 +224,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each component stays; rows without a doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: the document with the smallest doc_id of each component stays, once if its row is repeated.
+
+    Rows without a doc_id can't be told apart and stay.
+    """
+    found = checkpoint(near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).collect():
+        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return kept

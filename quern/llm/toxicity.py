@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import batches
 
 #: Labelled documents that are learned from, at most.
-MAX_TOXIC = 2500
-MAX_ORDINARY = 5000
+MAX_TOXIC = 2000
+MAX_ORDINARY = 4000
 #: Words of a learned document that are counted, at most (all words of a text are scored).
 MAX_LEARN_WORDS = 2000
 HELD_OUT_FOLD, FOLDS = 0, 5
@@ -52,8 +52,6 @@ class Model:
     uni: np.ndarray  # log ratio toxic to ordinary of a word after an unseen context
     keys: np.ndarray  # bigrams with counts, as first * size + second, sorted
     both: np.ndarray  # log ratio of those bigrams
-    back: np.ndarray  # by first word: [toxic back-off weight, ordinary back-off weight]
-    word_p: np.ndarray  # by word: probability after an unseen context, by class
     link: tuple[float, float, float] = (4.0, 1.0, -3.0)
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
@@ -62,18 +60,9 @@ class Model:
         ids = np.fromiter((get(w, n) for w in words), np.int64, len(words))
         out = self.uni[ids]
         if len(ids) > 1 and len(self.keys):
-            first, second = ids[:-1], ids[1:]
-            lam = self.back[first]
-            p = lam * self.word_p[second]
-            part = np.log(p[:, 0] / p[:, 1])
-            key = first * (n + 1) + second
+            key = ids[:-1] * (n + 1) + ids[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[1:] = np.where(self.keys[at] == key, self.both[at], part)
-            seen = (lam < 1).any(axis=1)
-            out[1:] = np.where(seen, out[1:], self.uni[second])
-            # where one class never saw the first word, its back-off weight is 1 and says nothing by itself
-            lone = (lam == 1).any(axis=1) & (self.keys[at] != key)
-            out[1:] = np.where(lone, self.uni[second], out[1:])
+            out[1:] = np.where(self.keys[at] == key, self.both[at], out[1:])
         # a pair of words is evidence once a text, however often a text repeats it
         pair = np.concatenate([[n], ids[:-1]]) * (n + 1) + ids if len(ids) else ids
         again = np.ones(len(ids), bool)
@@ -98,10 +87,15 @@ class Model:
 
 
 def _class_counts(docs: list[list[bytes]]) -> tuple[Counter, Counter]:
-    """Bigram counts, copies of a document counted once, and continuation counts (distinct words before a word)."""
+    """Bigrams by the documents they are in, and continuation counts (distinct words before a word).
+
+    A document of which over half the bigrams are known already is a copy and adds no evidence.
+    """
     pairs: Counter = Counter()
-    for w in {tuple(d): None for d in docs}:
-        pairs.update(set(zip((b"", *w[:-1]), w, strict=True)))
+    for w in docs:
+        own = set(zip((b"", *w[:-1]), w, strict=True))
+        if sum(p in pairs for p in own) * 2 <= len(own):
+            pairs.update(own)
     return pairs, Counter(second for _, second in pairs)
 
 
@@ -115,7 +109,7 @@ def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float
     n = len(known)
     shared_all = sum(total.values()) + n + 1
     shared = np.array([*((total[w] + 1) / shared_all for w in known), 1 / shared_all])
-    word_p = np.empty((n + 1, 2))
+    word_p, told = np.empty((n + 1, 2)), np.zeros(n + 1, bool)
     for c, cont in enumerate((tc, oc)):
         v = np.array([*(cont.get(w, 0) for w in known), 0], float)
         rest = sum(x for w, x in cont.items() if w not in index)
@@ -124,6 +118,7 @@ def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float
             word_p[:, c] = shared
             continue
         kept = np.maximum(v - discount, 0)
+        told |= kept > 0
         word_p[:, c] = kept / mass + (1 - kept.sum() / mass) * shared
     by: dict[int, list[float]] = {}
     firsts = np.zeros((n + 1, 2))
@@ -136,6 +131,8 @@ def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float
     keys = np.array(sorted(by), np.int64)
     v = np.array([by[k] for k in keys.tolist()], float).reshape(-1, 2)
     kept = np.maximum(v - discount, 0)
+    some = (kept > 0).any(axis=1)
+    keys, kept = keys[some], kept[some]
     held = np.zeros((n + 1, 2))
     if len(keys):
         np.add.at(held, keys // (n + 1), kept)
@@ -146,8 +143,8 @@ def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float
         p = np.where(firsts[i] > 0, kept / np.maximum(firsts[i], 1) + back[i] * word_p[j], word_p[j])
         both = np.log(p[:, 0] / p[:, 1])
     uni = np.log(word_p[:, 0] / word_p[:, 1])
-    uni[n] = 0.0
-    return Model(index, uni, keys, both, back, word_p)
+    uni[~told] = 0.0  # both classes have it from the shared counts only
+    return Model(index, uni, keys, both)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -171,7 +168,7 @@ def learn(rows: list[tuple[int, str | None, int]]) -> Model:
     docs = [(zlib.crc32(b"half" + str(i).encode()) % 2, tokens(t)[:MAX_LEARN_WORDS], y) for i, t, y in rows]
     if len({y for *_, y in docs}) < 2:
         base = 30.0 if docs and docs[0][2] else -30.0
-        return Model({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.ones((1, 2)), np.ones((1, 2)), (0.0, 0.0, base))
+        return Model({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, base))
     pick = lambda half, y: [w for h, w, c in docs if h != half and c == y]
     best = None
     for d in DISCOUNTS:
