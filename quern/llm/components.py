@@ -19,7 +19,7 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """links: a, b long. node, component: every node that has a link to another, and the smallest node it reaches."""
+    """links: a, b long. node, component: every node that reaches a smaller one, and the smallest it reaches."""
     edges = checkpoint(_tidy(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     before = None
     for _ in range(rounds):
