@@ -95,10 +95,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # it would be asked for unseen words only
         self.cache: dict[str, bytes] = {}
         lf = self._ids(["\n"])[0]
-        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.marks: dict[str, bytes] = {}
         self.lf = int(np.frombuffer(lf, "<u4")[0]) if len(lf) == 4 else None
+        self.cache["\n"] = lf
+        self.seen = bytearray(1 << 24)
+        self.model = self._bare()
+
+    def _bare(self):
+        """The byte-pair model alone, on text whose bytes are written as letters already; None if it isn't that kind."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = self.tokenizer.pre_tokenizer.__class__.__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        if not plain or self.lf is None:
+            return None
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.Split(_BYTES[10], "isolated")
+        probe = "".join([" ", "A\u00e9"])
+        ids = bare.encode(probe.encode().decode("latin-1").translate(_BYTES)).ids
+        return bare if np.array(ids, "<u4").tobytes() == self._ids([probe])[0] else None
 
     @classmethod
     def get(cls, name: str = TOKENIZER) -> Encoder:
@@ -115,52 +133,99 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cuts(self, cuts: list[str]) -> dict[str, bytes]:
+    def _letters(self, cuts: list[str]) -> dict[str, bytes]:
+        """Cuts of Latin letters, with a space before or not, are one piece each: the byte-pair model gets them directly."""
         out: dict[str, bytes] = {}
-        # a mark after a letter or digit is a piece of its own, so a known stem needs no encoding
-        marked = [c for c in cuts if c[-1] in self.marks and c[-2:-1].isalnum()]
-        if marked:
-            cuts = [*({*cuts} - {*marked} | {c[:-1] for c in marked} - self.cache.keys())]
         for i in range(0, len(cuts), self.JOIN):
             part = cuts[i : i + self.JOIN]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.lf)
-            if len(at) != len(part) - 1:
-                out.update(zip(part, self._ids(part), strict=True))
-                continue
-            raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            starts = [0, *(4 * at + 4).tolist()]
-            out.update((c, raw[x:y]) for c, x, y in zip(part, starts, ends, strict=True))
-        for c in marked:
-            stem = c[:-1]
-            out[c] = (out[stem] if stem in out else self.cache[stem]) + self.marks[c[-1]]
+            text = "\n".join(part).encode().decode("latin-1").translate(_BYTES)
+            self._part(out, part, self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return out
+
+    def _part(self, out: dict[str, bytes], part: list[str], ids: list[int]) -> None:
+        ids = np.array(ids, "<u4")
+        at = np.flatnonzero(ids == self.lf)
+        if len(at) != len(part) - 1:
+            out.update(zip(part, self._ids(part), strict=True))
+            return
+        raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        starts = [0, *(4 * at + 4).tolist()]
+        out.update((c, raw[x:y]) for c, x, y in zip(part, starts, ends, strict=True))
+
+    def _cuts(self, cuts: list[str]) -> dict[str, bytes]:
+        # punctuation after a letter or digit is a piece of its own, so a known stem needs no encoding
+        marked, stems = [], set()
+        for c in cuts:
+            stem = c.rstrip(_MARKS)
+            if len(stem) < len(c) and stem[-1:].isalnum() and "<|" not in c:  # that may begin a special token
+                marked.append((c, stem, c[len(stem) :]))
+                stems.add(stem)
+        if marked:
+            gone = {c for c, _, _ in marked}
+            cuts = [*{c for c in cuts if c not in gone} | {c for c in stems if c not in self.cache}]
+        plain = [c for c in cuts if c[c[0] == " " :].isalpha() and max(c) < "\u0250"] if self.model else []
+        out = self._letters(plain)
+        tails = {t for _, _, t in marked if t not in self.marks}
+        rest = [c for c in cuts if c not in out]
+        for i in range(0, len(rest), self.JOIN):
+            part = rest[i : i + self.JOIN]
+            self._part(out, part, self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids)
+        tails = dict(zip(tails, self._ids(list(tails)), strict=True))
+        if len(self.marks) < 10_000:
+            self.marks.update(tails)
+        for c, stem, tail in marked:
+            out[c] = (out[stem] if stem in out else self.cache[stem]) + (tails[tail] if tail in tails else self.marks[tail])
         return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cache, cuts, unseen, whole = self.cache, [], set(), {}
-        cache.setdefault("\n", self._ids(["\n"])[0])
+        cache, cuts, every, whole = self.cache, [], set(), {}
         for i, text in enumerate(texts):
             text = text or ""
             cut = [] if "\x00" in text or self.lf is None else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-            new = [c for c in cut if c not in cache]
-            if not cut or any(not c or c[-1].isspace() or c[c[0] == " "].isspace() for c in new):
+            if not cut:
                 whole[i] = text
-            else:
-                unseen.update(new)
+            every.update(cut)
             cuts.append(cut)
-        found = self._cuts(list(unseen)) if unseen else {}
-        full = len(cache) >= self.LIMIT
-        cache.update(found)
+        # one look into the large cache for each cut of the batch; the small table is quick
+        table = dict(zip(every, map(cache.get, every), strict=True))
+        new = [c for c, x in table.items() if x is None]
+        odd = {c for c in new if not c or c[-1].isspace() or c[c[0] == " "].isspace()}
+        if odd:
+            whole.update((i, "".join(cut)) for i, cut in enumerate(cuts) if not odd.isdisjoint(cut))
+            new = [c for c in new if c not in odd]
+        made = self._cuts(new) if new else {}
+        table.update(made)
         if whole:
             whole = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        out = [whole[i] if i in whole else b"".join(map(cache.__getitem__, cut)) for i, cut in enumerate(cuts)]
-        for k in found:
-            if full or len(k) > 64:
-                del cache[k]
+        out = [whole[i] if i in whole else b"".join(map(table.__getitem__, cut)) for i, cut in enumerate(cuts)]
+        # a cut is kept once it is seen in a second batch: most are never seen again
+        seen, mask = self.seen, len(self.seen) - 1
+        if len(cache) < self.LIMIT:
+            for c, raw in made.items():
+                h = hash(c) & mask
+                if seen[h]:
+                    if len(c) <= 64:
+                        cache[c] = raw
+                else:
+                    seen[h] = 1
         return out
 
 
-def batches(batch, rows: int = 512):
+#: ASCII punctuation, which the pre-tokenizer keeps apart from letters and digits.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 0x100 + others.index(b)) for b in range(256)}
+
+
+_BYTES = _byte_letters()
+
+
+def batches(batch, rows: int = 1024):
     """Slices of an Arrow batch, to bound what Python holds at once."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
