@@ -87,7 +87,7 @@ class Encoder:
     encoding each whole text.
     """
 
-    LIMIT = 700_000
+    LIMIT = 1_200_000
     JOIN = 4000
     _made: dict[str, Encoder] = {}
 

@@ -33,10 +33,10 @@ MAX_BROADCAST_SEGMENTS = 500_000
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The image of documents with these lengths; a document id of None is kept as the smallest 64-bit integer."""
-    levels, rest = [], ids.astype(np.uint32)
+    levels, rest = [], np.ascontiguousarray(ids, "<u4")
     while True:
         more = rest > 0xFF
-        levels.append(((rest & 0xFF).astype(np.uint8), more))
+        levels.append((rest.view(np.uint8)[::4].copy(), more))
         if not more.any():
             break
         rest = rest[more] >> np.uint32(8)
@@ -87,15 +87,15 @@ class Image:
         return value
 
     def ids(self) -> np.ndarray:
-        value, where = np.zeros(self.n, np.uint32), None
+        value, on = np.zeros((self.n, 4), np.uint8), None
         for k, (chunks, bits, _) in enumerate(self.levels):
-            if where is None:
-                value[:] = chunks
-                where = np.flatnonzero(np.unpackbits(bits, count=self.n, bitorder="little"))
+            more = np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)
+            if on is None:
+                value[:, 0], on = chunks, more
             else:
-                value[where] |= chunks.astype(np.uint32) << np.uint32(8 * k)
-                where = where[np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)]
-        return value
+                value[on, k] = chunks
+                on[on] = more
+        return value.view("<u4").ravel()
 
     def document(self, k: int) -> np.ndarray:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint32)
@@ -162,7 +162,7 @@ def read(table: DataFrame) -> DataFrame:
         for batch in it:
             for first, payload in zip(batch.column("first").to_pylist(), batch.column("payload"), strict=True):
                 image = Image(payload.as_buffer().to_pybytes())
-                raw = memoryview(image.ids().astype("<u4").tobytes())
+                raw = memoryview(image.ids()).cast("B")
                 at = image.starts.tolist()
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                 ids = pa.array(image.doc_ids, mask=image.doc_ids == -(2**63))
