@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, words
 
-SAMPLES = 64
-#: Samples per generated loop body; SAMPLES must be a multiple.
-GROUP = 16
+SAMPLES = 32
+#: Samples per row of generated code, small enough for the JVM to compile; SAMPLES must be a multiple.
+GROUP = 4
 SMALLEST = -(2**63)
 _LENGTH_BITS = 12
 
