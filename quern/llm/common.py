@@ -225,6 +225,18 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+def fewest(df: DataFrame, name: str, most: int) -> DataFrame:
+    """At most `most` rows of df, those with the least hash of doc_id (ties in any order).
+
+    Rows far above the cut are dropped where they are read, so that no partition sends its own `most` rows.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(name), F.col("doc_id").cast("long")), 1)
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(h < int(2**63 * min(1.0, (1.2 * most + 50) / n)))
+    return df.orderBy(h).limit(most)
+
+
 def batches(batch, rows: int = 1024):
     """Slices of an Arrow batch, to bound what Python holds at once."""
     for i in range(0, batch.num_rows, rows):

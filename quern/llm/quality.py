@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_CLASS, checkpoint, words
+from quern.llm.common import checkpoint, fewest, words
 
 #: Labelled rows that rules are learned from, at most; chosen by a hash of doc_id.
 MAX_LABELLED = 20_000
@@ -175,8 +175,10 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[R
     label of an id counts.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = fewest(known, "quality", most)  # rows that fail the base tests among them are not replaced
     h = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    rows = stats.where("NOT base_failed").join(known, "doc_id").select(h.alias("h"), "quality", *(f"f_{f}" for f in FEATURES)).orderBy("h", *(f"f_{f}" for f in FEATURES)).limit(most).collect()
+    found = stats.where("NOT base_failed").join(F.broadcast(known), "doc_id").select(h.alias("h"), "quality", *(f"f_{f}" for f in FEATURES)).collect()
+    rows = sorted(found, key=tuple)[:most]
     if not rows:
         return []
     x = {f: np.array([r[f"f_{f}"] for r in rows]) for f in FEATURES}
@@ -218,4 +220,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _few(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """Labelled ids that rules are learned from in the pipeline: at most `most`, so that they can be broadcast."""
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.orderBy(F.xxhash64(F.lit("quality"), F.col("doc_id"))).limit(most)
+    return fewest(ids, "quality", most)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches
+from quern.llm.common import batches, fewest
 
 #: Labelled documents that are learned from, at most.
 MAX_TOXIC = 2000
@@ -196,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     """Learns from labelled rows outside the held-out fold; the highest label of an id counts, null labels do not."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT_FOLD)
-    order = F.xxhash64(F.lit("toxic"), F.col("doc_id"))
-    few = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_ordinary))
+    few = fewest(known.where("toxic = 1"), "toxic", max_toxic).union(fewest(known.where("toxic = 0"), "toxic", max_ordinary))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").collect()
     return learn(sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows), key=lambda r: (r[0], r[1] or "")))
 

@@ -88,7 +88,7 @@ def test_fingerprint_is_generalised_jaccard(spark, docs):
         x, y = Counter(split(a)), Counter(split(edited))
         low = sum(min(x[w], y[w]) * len(w) for w in x | y)
         error.append(r["near_edited"] - low / max(1, sum(max(x[w], y[w]) * len(w) for w in x | y)))
-    assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.08
+    assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.11
     by_text = defaultdict(set)
     for d in ids:
         by_text[t[d]].add(out[d]["fingerprint"])
@@ -329,21 +329,24 @@ def test_lm_scores_each_word_once_and_sums_to_one():
     n = Counter(w for d in docs for w in [*d, lm.END])
     counts, heads = np.zeros(pieces.size), np.zeros(pieces.size)
     for w, k in n.items():
-        (ids,) = pieces.of([w])
+        ids, _ = pieces.of([w])
         np.add.at(counts, ids, k)
         heads[ids[0]] += k + 1
     model = lm.train(docs, counts, heads, pieces, steps=40)
-    long = [docs[0] * 4]
-    seq = np.concatenate(pieces.of([*long[0], lm.END]))
-    got = model.gains([seq])
-    assert len(got) == len(long[0]) + 1 and model.first[seq].sum() == len(got)
-    # a window that starts at 0 scores its words as if the text ended there
-    short = model.gains([seq[: lm.WINDOW]])
+    seq, _ = pieces.of([*docs[0] * 4, lm.END])
+    gains = lambda s: model.gains(s, np.array([len(s)]))
+    got = gains(seq)
+    assert len(got) == 4 * len(docs[0]) + 1 and model.first[seq].sum() == len(got)
+    # the first window's words don't depend on what follows
+    short = gains(seq[: lm.WINDOW])
     assert np.allclose(got[: len(short)], short, atol=1e-4)
-    # probabilities of the classes at the first place sum to one
-    first = {int(model.cls[i]): model.gains([np.array([i])])[0] + model.mass[model.cls[i]] for i in np.flatnonzero(model.first)[::97]}
-    assert sum(np.exp(x) for x in first.values()) <= 1 + 1e-3
-    model.gains([np.array([pieces.end])])
+    # documents in a row are scored apart
+    laid = lm.Laid.out(docs[:5])
+    each = [float(lm.context_gains(model, pieces, lm.Laid.out([d]))[0]) for d in docs[:5]]
+    assert np.allclose(lm.context_gains(model, pieces, laid), each, atol=1e-3)
+    # the classes' probabilities at the first place sum to one
+    first = {int(model.cls[i]): gains(np.array([i]))[0] + model.mass[model.cls[i]] for i in np.flatnonzero(model.first)}
+    assert abs(sum(np.exp(x) for x in first.values()) - 1) < 1e-3
 
 
 def test_toxicity_held_out(spark):
