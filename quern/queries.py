@@ -2,10 +2,429 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import segment as S
+from quern.operators import tables as O
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ident() -> Column:
+    return F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("_HTTPServer"), F.replace("p_brand", F.lit("Brand#"), F.lit("V")))
+
+
+IDENT = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') || '_HTTPServer' || replace(p_brand, 'Brand#', 'V')"
+CAMEL = "list_transform(regexp_extract_all(regexp_replace({}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))"
+NAMES = f"list_filter({CAMEL.format(IDENT)}, lambda x: NOT regexp_full_match(x, '[0-9]+'))"
+TOK = "tok AS (SELECT doc_id, pos - 1 AS pos, w FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS l FROM documents)))"
+GRAM = "gram AS (SELECT p_name, n, pos, substr(p_name, pos + 1, n) AS gram, nullif(substr(p_name, pos + n + 1, 1), '') AS nxt, CASE WHEN pos > 0 THEN substr(p_name, pos, 1) END AS prv FROM (SELECT p_name, n, unnest(range(0, length(p_name) - n + 1)) AS pos FROM (SELECT DISTINCT p_name FROM part), (SELECT unnest(range(1, 4)) AS n) WHERE length(p_name) >= n))"
+DICE = "md5('{}-' || {}::VARCHAR)"
+
+
+def tokens(spark: SparkSession, d: str, table: str = "documents", *keys: str) -> DataFrame:
+    keys = keys or ("doc_id",)
+    return read(spark, d, table).select(*keys, F.posexplode(T.spaced_words(F.col("text"))).alias("pos", "w"))
+
+
+def name_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", F.posexplode(T.camel_words(ident())).alias("pos", "w"))
+
+
+def grams(spark: SparkSession, d: str) -> DataFrame:
+    return O.char_grams(read(spark, d, "part"), "p_name", 3)
+
+
+# names and symbols --------------------------------------------------------------------------------------------------
+
+
+@query("camel_split", f"SELECT p_partkey, array_to_string({NAMES}, '_') AS parts FROM part")
+def camel_split(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.array_join(T.camel_words(ident()), "_").alias("parts"))
+
+
+@query("label_vocab_ident", f"WITH c AS (SELECT w, count(*) AS cnt FROM (SELECT unnest({NAMES}) AS w FROM part) GROUP BY w) SELECT row_number() OVER (ORDER BY cnt DESC, w) + 3 AS id, w, cnt FROM c")
+def label_vocab_ident(spark, d):
+    return O.vocabulary(O.word_counts(name_tokens(spark, d)), 4)
+
+
+_MADE = "CASE p_partkey % 7 WHEN 0 THEN '_Z' || p_name WHEN 1 THEN 'sub_' || p_partkey WHEN 2 THEN '.' || '_Zx' WHEN 3 THEN 'a_Z' || p_name WHEN 4 THEN p_name || '.cc' WHEN 5 THEN 'main' ELSE p_name END"
+
+
+@query("symbol_filter", f"SELECT p_partkey, s FROM (SELECT p_partkey, {_MADE} AS s FROM part) WHERE NOT (CASE WHEN starts_with(s, '_Z') THEN true WHEN instr(substr(s, 1, 3), '_Z') > 0 THEN NOT regexp_matches(substr(s, 1, 1), '[A-Za-z0-9]') ELSE starts_with(s, 'sub_') OR s = 'main' OR starts_with(s, '_GLOBAL_') OR ends_with(s, '.cc') OR ends_with(s, '.cpp') END)")
+def symbol_filter(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.expr(_MADE).alias("s")).where(~T.excluded_symbol(F.col("s")))
+
+
+_OPS = "CASE event_id % 9 WHEN 0 THEN '0' WHEN 1 THEN 'loc_' || event_id WHEN 2 THEN 'loc_:' || event_id WHEN 3 THEN 'locret_1' WHEN 4 THEN 'dword_' || user_id WHEN 5 THEN '-' || user_id WHEN 6 THEN '0x' || event_id WHEN 7 THEN '-0x1A2B3C4D' ELSE 'rax' END"
+
+
+@query("operand_class", f"""
+WITH o AS (SELECT event_id, {_OPS} AS op FROM events)
+SELECT event_id, CASE WHEN op = '0' THEN 'ZERO' WHEN starts_with(op, 'loc_') THEN CASE WHEN contains(op, ':') THEN 'LOCALFUN' ELSE 'LOCALJUMP' END
+ WHEN starts_with(op, 'locret_') THEN 'RETJUMP' WHEN starts_with(op, 'dword_') THEN 'address'
+ WHEN regexp_full_match(op, '-?[0-9]+') THEN CASE WHEN starts_with(op, '-') THEN 'NEGATIVE' ELSE 'POSITIVE' END
+ WHEN regexp_full_match(op, '-?0x[0-9a-fA-F]+') AND length(op) BETWEEN 7 AND 14 THEN CASE WHEN starts_with(op, '-') THEN 'negaddress' ELSE 'address' END
+ WHEN regexp_full_match(op, '-?0x[0-9a-fA-F]+') AND length(op) < 7 THEN CASE WHEN starts_with(op, '-') THEN 'NEGATIVE' ELSE 'POSITIVE' END
+ ELSE op END AS cls FROM o""")
+def operand_class(spark, d):
+    return read(spark, d, "events").select("event_id", T.operand_class(F.expr(_OPS)).alias("cls"))
+
+
+@query("abbr_expand", "SELECT event_id, array_to_string(list_transform(string_split(event_type, '_'), lambda x: CASE x WHEN 'click' THEN 'press_button' WHEN 'view' THEN 'look' ELSE x END), '_') AS parts FROM events")
+def abbr_expand(spark, d):
+    return read(spark, d, "events").select("event_id", F.array_join(T.expand(F.split("event_type", "_"), {"click": "press_button", "view": "look"}), "_").alias("parts"))
+
+
+# counts, smoothing, n-grams -----------------------------------------------------------------------------------------
+
+
+@query("token_counts", f"WITH {TOK} SELECT w, count(*) AS cnt FROM tok WHERE NOT regexp_full_match(w, '[0-9]+') GROUP BY w")
+def token_counts(spark, d):
+    return O.word_counts(tokens(spark, d).where(~F.col("w").rlike("^[0-9]+$")))
+
+
+@query("token_totals", f"WITH {TOK} SELECT doc_id, count(*) AS n, sum(length(w))::BIGINT AS chars FROM tok GROUP BY doc_id")
+def token_totals(spark, d):
+    return tokens(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
+
+
+@query("witten_bell", f"WITH c AS (SELECT w, count(*) AS cnt FROM (SELECT unnest({NAMES}) AS w FROM part) GROUP BY w), t AS (SELECT sum(cnt)::DOUBLE AS n, count(*)::DOUBLE AS t FROM c) SELECT w, cnt, round(cnt / (n + t), 12) AS p FROM c, t")
+def witten_bell(spark, d):
+    return O.witten_bell(O.word_counts(name_tokens(spark, d))).select("w", "cnt", F.round("p", 12).alias("p"))
+
+
+@query("oov_seed", f"WITH {TOK}, a AS (SELECT w, count(*) AS cnt FROM tok WHERE doc_id % 5 <> 0 GROUP BY w), b AS (SELECT w, cnt FROM a UNION ALL SELECT DISTINCT w, 0 FROM tok WHERE doc_id % 5 = 0 AND w NOT IN (SELECT w FROM a)), t AS (SELECT sum(cnt)::DOUBLE AS n, count(*) FILTER (cnt > 0)::DOUBLE AS t, count(*) FILTER (cnt = 0)::DOUBLE AS z FROM b) SELECT w, cnt::BIGINT AS cnt, round(CASE WHEN cnt > 0 THEN cnt / (n + t) ELSE t / ((n + t) * z) END, 12) AS p FROM b, t")
+def oov_seed(spark, d):
+    t = tokens(spark, d)
+    seeded = O.seed_unseen(O.word_counts(t.where("doc_id % 5 <> 0")), t.where("doc_id % 5 = 0"))
+    return O.witten_bell(seeded).select("w", "cnt", F.round("p", 12).alias("p"))
+
+
+@query("char_ngrams", f"WITH {GRAM} SELECT n::BIGINT AS n, gram, count(*) AS cnt FROM gram GROUP BY n, gram")
+def char_ngrams(spark, d):
+    return grams(spark, d).groupBy(F.col("n").cast("long").alias("n"), "gram").agg(F.count("*").alias("cnt"))
+
+
+@query("freedoms", f"WITH {GRAM} SELECT gram, count(*) AS cnt, count(DISTINCT nxt) AS f_next, count(DISTINCT prv) AS f_prev FROM gram GROUP BY gram")
+def freedoms(spark, d):
+    return O.freedoms(grams(spark, d))
+
+
+@query("bigram_mi", f"WITH {GRAM}, o AS (SELECT gram, count(*)::DOUBLE AS c FROM gram WHERE n = 1 GROUP BY gram), b AS (SELECT gram, count(*) AS cnt FROM gram WHERE n = 2 GROUP BY gram) SELECT b.gram, b.cnt, round(b.cnt * (SELECT sum(c) FROM o) / (x.c * y.c), 9) AS mi FROM b JOIN o x ON x.gram = substr(b.gram, 1, 1) JOIN o y ON y.gram = substr(b.gram, 2, 1)")
+def bigram_mi(spark, d):
+    return O.mutual_information(grams(spark, d)).select("gram", "cnt", F.round("mi", 9).alias("mi"))
+
+
+@query("cond_probs", f"WITH {GRAM}, o AS (SELECT gram, count(*)::DOUBLE AS c FROM gram WHERE n = 1 GROUP BY gram), b AS (SELECT gram, count(*) AS cnt FROM gram WHERE n = 2 GROUP BY gram) SELECT b.gram, round(b.cnt / x.c, 9) AS p_next, round(b.cnt / y.c, 9) AS p_prev FROM b JOIN o x ON x.gram = substr(b.gram, 1, 1) JOIN o y ON y.gram = substr(b.gram, 2, 1)")
+def cond_probs(spark, d):
+    return O.conditional(grams(spark, d)).select("gram", F.round("p_next", 9).alias("p_next"), F.round("p_prev", 9).alias("p_prev"))
+
+
+@query("freedom_profile", f"""
+WITH {GRAM}, f AS (SELECT gram, count(DISTINCT nxt) AS a, count(DISTINCT prv) AS b FROM gram WHERE n <= 2 GROUP BY gram),
+p AS (SELECT p_name, pos, substr(p_name, greatest(pos - 1, 0) + 1, pos - greatest(pos - 1, 0) + 1) AS gp, substr(p_name, pos + 1, least(2, length(p_name) - pos)) AS gm FROM gram WHERE n = 1),
+v AS (SELECT p_name, pos, coalesce(x.a, 0) AS f_p, coalesce(y.b, 0) AS f_m FROM p LEFT JOIN f x ON x.gram = gp LEFT JOIN f y ON y.gram = gm),
+w AS (SELECT *, f_p - lag(f_p) OVER o AS d_p, f_m - lead(f_m) OVER o AS d_m FROM v WINDOW o AS (PARTITION BY p_name ORDER BY pos))
+SELECT p_name, pos::BIGINT AS pos, f_p, f_m, d_p, d_m, d_p - lead(d_p) OVER o AS peak_p, d_m - lag(d_m) OVER o AS peak_m FROM w WINDOW o AS (PARTITION BY p_name ORDER BY pos)""")
+def freedom_profile(spark, d):
+    return O.profile(grams(spark, d), "p_name", 2).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("dict_compress", f"WITH {TOK}, c AS (SELECT lang, w, count(*) AS cnt FROM tok JOIN documents USING (doc_id) GROUP BY lang, w) SELECT lang, w, cnt FROM c QUALIFY cnt >= 0.05 * max(cnt) OVER (PARTITION BY lang)")
+def dict_compress(spark, d):
+    return O.compress(O.word_counts(tokens(spark, d, "documents", "doc_id", "lang"), "lang"), 0.05, "lang").select("lang", "w", "cnt")
+
+
+@query("dict_diff", f"WITH {TOK}, a AS (SELECT w, count(*) AS x FROM tok WHERE doc_id % 2 = 0 GROUP BY w), b AS (SELECT w, count(*) AS y FROM tok WHERE doc_id % 2 = 1 GROUP BY w) SELECT w, coalesce(x, 0) - coalesce(y, 0) AS diff FROM a FULL JOIN b USING (w) WHERE x IS NULL OR y IS NULL OR x <> y")
+def dict_diff(spark, d):
+    t = tokens(spark, d)
+    return O.difference(O.word_counts(t.where("doc_id % 2 = 0")), O.word_counts(t.where("doc_id % 2 = 1")))
+
+
+@query("dict_merge", f"WITH {TOK} SELECT w, count(*) AS cnt FROM tok GROUP BY w")
+def dict_merge(spark, d):
+    t = tokens(spark, d)
+    return O.merge(O.word_counts(t.where("doc_id % 2 = 0")), O.word_counts(t.where("doc_id % 2 = 1")))
+
+
+@query("case_merge", f"WITH {TOK} SELECT lower(w) AS w, count(*) AS cnt FROM tok GROUP BY lower(w)")
+def case_merge(spark, d):
+    return tokens(spark, d).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("cnt"))
+
+
+# vocabularies and encoding ------------------------------------------------------------------------------------------
+
+VOC = "voc AS (SELECT w, cnt, row_number() OVER (ORDER BY cnt DESC, w) + 4 AS id FROM (SELECT w, count(*) AS cnt FROM tok GROUP BY w) QUALIFY row_number() OVER (ORDER BY cnt DESC, w) <= 13000)"
+CTOK = TOK.replace("documents", "conversations").replace("doc_id", "conv_id, turn").replace("tok AS", "ctok AS")
+
+
+@query("instr_vocab", f"WITH {TOK}, {VOC} SELECT id, w, cnt FROM voc")
+def instr_vocab(spark, d):
+    return O.vocabulary(O.word_counts(tokens(spark, d)), 5, 13_000)
+
+
+@query("vocab_extend", f"WITH {TOK}, {VOC}, {CTOK}, n AS (SELECT w, count(*) AS cnt FROM ctok WHERE w NOT IN (SELECT w FROM voc) GROUP BY w) SELECT id, w, cnt FROM voc UNION ALL SELECT (SELECT max(id) FROM voc) + row_number() OVER (ORDER BY cnt DESC, w), w, cnt FROM n")
+def vocab_extend(spark, d):
+    return O.extend(instr_vocab(spark, d), O.word_counts(tokens(spark, d, "conversations", "conv_id", "turn")))
+
+
+@query("encode_seq", f"""
+WITH {TOK}, {VOC}, {CTOK}, e AS (SELECT conv_id, turn, list(coalesce(id, 1) ORDER BY pos) AS l FROM ctok LEFT JOIN voc USING (w) GROUP BY conv_id, turn)
+SELECT conv_id, turn, array_to_string((list_concat([3], l, [2], list_transform(range(16), lambda x: 0)))[1:16], ' ') AS ids FROM e""")
+def encode_seq(spark, d):
+    words = tokens(spark, d, "conversations", "conv_id", "turn")
+    return O.encode(words, instr_vocab(spark, d), ["conv_id", "turn"], 16, 3, 2).select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query("pair_truncate", f"""
+WITH {CTOK}, n AS (SELECT conv_id, turn, count(*) AS n FROM ctok GROUP BY conv_id, turn), p AS (SELECT a.conv_id, a.turn, a.n AS a, b.n AS b, greatest(a.n + b.n - 29, 0) AS r FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+m AS (SELECT *, least(r, abs(a - b)) AS m FROM p)
+SELECT conv_id, turn, (a - CASE WHEN a > b THEN m ELSE 0 END - floor((r - m) / 2))::BIGINT AS keep_a, (b - CASE WHEN b > a THEN m ELSE 0 END - ceil((r - m) / 2))::BIGINT AS keep_b FROM m""")
+def pair_truncate(spark, d):
+    n = tokens(spark, d, "conversations", "conv_id", "turn").groupBy("conv_id", "turn").agg(F.count("*").alias("a"))
+    p = n.join(n.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    a, b = O.truncated(F.col("a"), F.col("b"), F.lit(29))
+    return p.select("conv_id", "turn", a.cast("long").alias("keep_a"), b.cast("long").alias("keep_b"))
+
+
+# sequences ----------------------------------------------------------------------------------------------------------
+
+
+@query("walk_pairs_cfg", """
+WITH s AS (SELECT user_id, event_type AS l, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n, lead(event_type, 1) OVER w AS r1, lead(event_type, 2) OVER w AS r2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT l, r1 AS r, j FROM s WHERE n >= 4 UNION ALL SELECT l, r2, j FROM s WHERE n >= 4)
+SELECT l AS "left", r AS "right", sum(CASE WHEN j = 0 THEN 1 ELSE 2 END)::BIGINT AS n FROM p WHERE r IS NOT NULL GROUP BY l, r""")
+def walk_pairs_cfg(spark, d):
+    return O.context_pairs(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("walk_pairs_dfg", """SELECT l AS "left", r AS "right", (2 * count(*))::BIGINT AS n FROM (SELECT event_type AS l, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r IS NOT NULL GROUP BY l, r""")
+def walk_pairs_dfg(spark, d):
+    return O.next_pairs(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("align_corpora", "WITH a AS (SELECT l_partkey, l_orderkey AS val, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey, l_orderkey AS val, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_returnflag = 'N') SELECT l_partkey, pos, a.val AS a, b.val AS b FROM a JOIN b USING (l_partkey, pos)")
+def align_corpora(spark, d):
+    li = read(spark, d, "lineitem")
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
+    part = lambda f: li.where(F.col("l_returnflag") == f).select("l_partkey", F.row_number().over(w).cast("long").alias("pos"), F.col("l_orderkey").alias("val"))
+    return O.align(part("A"), part("N"), "l_partkey")
+
+
+@query("batch_chunks", "WITH r AS (SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS i, count(*) OVER (PARTITION BY role) AS total FROM conversations) SELECT role, floor((i - 1) / 16)::BIGINT AS chunk, count(*) AS n, min(conv_id) AS first_conv FROM r WHERE (floor((i - 1) / 16) + 1) * 16 <= total GROUP BY role, chunk")
+def batch_chunks(spark, d):
+    w = Window.partitionBy("role")
+    r = read(spark, d, "conversations").withColumn("at", F.row_number().over(w.orderBy("conv_id", "turn"))).withColumn("total", F.count("*").over(w))
+    return O.chunks(r, 16).groupBy("role", "chunk").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
+
+
+@query("def_use", "SELECT event_id, (SELECT max(e.event_id) FROM events e WHERE false) AS nothing, def FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def FROM events) WHERE event_type = 'click'")
+def def_use(spark, d):
+    e = O.last_before(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "click", "event_id")
+    return e.select("event_id", F.lit(None).cast("long").alias("nothing"), "def")
+
+
+@query("node_offsets", "SELECT o_orderkey, n, coalesce(sum(n) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def node_offsets(spark, d):
+    """Running offsets in two levels: within ranges of keys, and of the ranges."""
+    n = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")).withColumn("blk", F.floor(F.col("o_orderkey") / 4096))
+    blocks = n.groupBy("blk").agg(F.sum("n").alias("b"))
+    base = blocks.select("blk", (F.sum("b").over(Window.orderBy("blk")) - F.col("b")).alias("base"))
+    own = F.sum("n").over(Window.partitionBy("blk").orderBy("o_orderkey")) - F.col("n")
+    return n.join(base, "blk").select("o_orderkey", "n", (own + F.col("base")).alias("before"))
+
+
+# splits and samples -------------------------------------------------------------------------------------------------
+
+
+@query("split_801010", f"SELECT doc_id, CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.8) + floor(n * 0.1) THEN 'valid' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY {DICE.format('s', 'doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents)")
+def split_801010(spark, d):
+    return O.split_exact(read(spark, d, "documents"), "doc_id", "s", {"train": 0.8, "valid": 0.1}, "test")
+
+
+@query("split_95_5", f"SELECT doc_id, CASE WHEN r <= n - ceil(n * 0.05) THEN 'train' ELSE 'val' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY {DICE.format('v', 'doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents)")
+def split_95_5(spark, d):
+    return O.split_exact(read(spark, d, "documents"), "doc_id", "v", {"train": 0.95}, "val")
+
+
+@query("variant_pairs", """
+WITH v AS (SELECT DISTINCT l_partkey, l_linenumber % 5 AS v FROM lineitem), p AS (SELECT a.l_partkey, a.v AS v1, b.v AS v2 FROM v a JOIN v b ON a.l_partkey = b.l_partkey AND a.v < b.v UNION ALL SELECT l_partkey, min(v), min(v) FROM v GROUP BY l_partkey HAVING count(*) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY md5('p-' || l_partkey || '-' || v1 || '-' || v2), v1, v2) AS r, count(*) OVER (PARTITION BY l_partkey) AS m FROM p)
+SELECT l_partkey, k, v1, v2 FROM r, (SELECT unnest(range(1, 6)) AS k) WHERE r <= 5 AND (k - 1) % least(m, 5) = r - 1""")
+def variant_pairs(spark, d):
+    v = read(spark, d, "lineitem").select("l_partkey", (F.col("l_linenumber") % 5).alias("v")).distinct()
+    return O.variant_pairs(v, "l_partkey", "p")
+
+
+@query("neg_sampling", "SELECT conv_id, turn, CASE WHEN u > 0.25 THEN 'pos_pos' ELSE 'neg_neg' END AS label FROM (SELECT conv_id, turn, ('0x' || substr(md5('n-' || conv_id || '-' || turn), 1, 8))::BIGINT / 4294967296.0 AS u FROM conversations)")
+def neg_sampling(spark, d):
+    u = O.uniform("n", F.col("conv_id"), F.col("turn"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.when(u > 0.25, "pos_pos").otherwise("neg_neg").alias("label"))
+
+
+# graphs -------------------------------------------------------------------------------------------------------------
+
+
+@query("size_band", "SELECT l_orderkey, count(*) AS nodes FROM lineitem GROUP BY l_orderkey HAVING count(*) BETWEEN 3 AND 6")
+def size_band(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("nodes")).where("nodes BETWEEN 3 AND 6")
+
+
+def edges(spark, d):
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+
+
+@query("symmetrise", "WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def symmetrise(spark, d):
+    return O.undirected(edges(spark, d))
+
+
+@query("indegree0", "SELECT DISTINCT l_orderkey AS node FROM lineitem WHERE l_orderkey NOT IN (SELECT l_partkey FROM lineitem)")
+def indegree0(spark, d):
+    return O.sources(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query("ego_2hop", """
+WITH e0 AS (SELECT c_custkey AS a, 1000000 + c_nationkey AS b FROM customer WHERE c_acctbal < 0), e AS (SELECT a AS src, b AS dst FROM e0 UNION SELECT b, a FROM e0),
+h1 AS (SELECT DISTINCT src AS root, dst AS node FROM e WHERE src <> dst), h2 AS (SELECT DISTINCT h1.root, e.dst AS node FROM h1 JOIN e ON h1.node = e.src WHERE e.dst <> h1.root)
+SELECT root, node, 1::BIGINT AS hop FROM h1 UNION ALL SELECT root, node, 2 FROM h2 ANTI JOIN h1 USING (root, node) UNION ALL SELECT DISTINCT src, src, 0 FROM e""")
+def ego_2hop(spark, d):
+    c = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") + 1_000_000).cast("long").alias("dst"))
+    return O.ego(O.undirected(c), 2).withColumn("hop", F.col("hop").cast("long"))
+
+
+# similarity and metrics ---------------------------------------------------------------------------------------------
+
+
+@query("knn_top5", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rk FROM p QUALIFY rk <= 5")
+def knn_top5(spark, d):
+    return O.nearest(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5).select("a", "b", F.col("rk").cast("long").alias("rk"))
+
+
+@query("scatter_sum", "SELECT label, i::BIGINT AS i, round(sum(x), 5) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def scatter_sum(spark, d):
+    return read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.sum(F.col("x").cast("double")), 5).alias("s"))
+
+
+@query("lev_similarity", "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 9) AS sim FROM n a JOIN n b ON string_split(a.p_name, ' ')[2] = string_split(b.p_name, ' ')[2] AND a.p_name < b.p_name WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5")
+def lev_similarity(spark, d):
+    n = read(spark, d, "part").select("p_name", F.split("p_name", " ")[1].alias("k")).distinct()
+    sim = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9)
+    return n.select("k", F.col("p_name").alias("a")).join(n.select("k", F.col("p_name").alias("b")), "k").where("a < b").select("a", "b", sim.alias("sim")).where("sim >= 0.5")
+
+
+@query("f1_multiset", f"""
+WITH {CTOK}, x AS (SELECT conv_id, lower(w) AS w, count(*) AS x FROM ctok JOIN conversations USING (conv_id, turn) WHERE role = 'user' GROUP BY 1, 2), y AS (SELECT conv_id, lower(w) AS w, count(*) AS y FROM ctok JOIN conversations USING (conv_id, turn) WHERE role = 'assistant' GROUP BY 1, 2),
+s AS (SELECT conv_id, sum(x)::DOUBLE AS n, sum(y)::DOUBLE AS m, sum(least(coalesce(x, 0), coalesce(y, 0)))::DOUBLE AS h FROM x FULL JOIN y USING (conv_id, w) GROUP BY conv_id)
+SELECT conv_id, round(coalesce(h / nullif(m, 0), 0), 9) AS p, round(coalesce(h / nullif(n, 0), 0), 9) AS r, round(coalesce(2 * (h / m) * (h / n) / nullif(h / m + h / n, 0), 0), 9) AS f1 FROM s""")
+def f1_multiset(spark, d):
+    w = tokens(spark, d, "conversations", "conv_id", "role").withColumn("w", F.lower("w"))
+    return O.multiset_f1(w.where("role = 'user'"), w.where("role = 'assistant'"), "conv_id")
+
+
+@query("micro_prf", "WITH s AS (SELECT sum((quality = 1 AND toxic = 1)::INT)::DOUBLE AS tp, sum((quality = 0 AND toxic = 1)::INT)::DOUBLE AS fp, sum((quality = 1 AND toxic = 0)::INT)::DOUBLE AS fn FROM labels) SELECT round(tp / (tp + fp), 9) AS p, round(tp / (tp + fn), 9) AS r, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s")
+def micro_prf(spark, d):
+    n = lambda c: F.sum(F.expr(c).cast("int"))
+    s = read(spark, d, "labels").agg(n("quality = 1 AND toxic = 1").alias("tp"), n("quality = 0 AND toxic = 1").alias("fp"), n("quality = 1 AND toxic = 0").alias("fn"))
+    return s.selectExpr("round(try_divide(tp, tp + fp), 9) AS p", "round(try_divide(tp, tp + fn), 9) AS r", "round(try_divide(2 * tp, 2 * tp + fp + fn), 9) AS f1")
+
+
+@query("masked_accuracy", "SELECT round(avg((quality = toxic)::INT), 9) AS acc, count(*) AS n FROM labels WHERE doc_id % 3 <> 0")
+def masked_accuracy(spark, d):
+    return read(spark, d, "labels").where("doc_id % 3 <> 0").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("int")), 9).alias("acc"), F.count("*").alias("n"))
+
+
+@query("entropy", "WITH c AS (SELECT user_id, event_type, count(*) AS cnt FROM events GROUP BY 1, 2), t AS (SELECT user_id, sum(cnt)::DOUBLE AS n, count(*) AS k FROM c GROUP BY 1), h AS (SELECT user_id, k, -sum(cnt / n * log2(cnt / n)) AS h FROM c JOIN t USING (user_id) GROUP BY 1, 2) SELECT user_id, round(CASE WHEN k > 2 THEN h / log2(k) ELSE h END, 9) AS h FROM h")
+def entropy(spark, d):
+    return O.entropy(read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("cnt")), "user_id")
+
+
+@query("pivot_matrix", "SELECT user_id % 10 AS g, " + ", ".join(f"coalesce(round(sum(CASE WHEN event_type = '{t}' THEN value END), 4), 0) AS {t}" for t in ("click", "error", "purchase", "view")) + " FROM events GROUP BY user_id % 10")
+def pivot_matrix(spark, d):
+    e = read(spark, d, "events").groupBy((F.col("user_id") % 10).alias("g")).pivot("event_type", ["click", "error", "purchase", "view"]).agg(F.round(F.sum("value"), 4))
+    return e.fillna(0)
+
+
+@query("running_mean", "SELECT event_id, round(sum(value) OVER w / count(*) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def running_mean(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, d, "events").select("event_id", F.round(F.sum("value").over(w) / F.count("*").over(w), 4).alias("mean"))
+
+
+@query("vote_repeats", "SELECT label, e AS item, count(*) AS n FROM (SELECT label, vec_id % 50 AS e FROM embeddings) GROUP BY label, e HAVING count(*) > 1")
+def vote_repeats(spark, d):
+    return read(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 50).alias("item")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("distinct_variants", "SELECT l_partkey, h, min(l_linenumber)::BIGINT AS v FROM (SELECT l_partkey, l_linenumber, md5(l_returnflag || ' ' || l_linestatus) AS h FROM lineitem) GROUP BY l_partkey, h")
+def distinct_variants(spark, d):
+    h = F.md5(F.concat_ws(" ", "l_returnflag", "l_linestatus").cast("binary"))
+    return read(spark, d, "lineitem").groupBy("l_partkey", h.alias("h")).agg(F.min("l_linenumber").cast("long").alias("v"))
+
+
+# schedules and segmentation -----------------------------------------------------------------------------------------
+
+
+@query("noam_schedule", "SELECT p_partkey, round(power(768, -0.5) * least(power(p_partkey + 1, -0.5), (p_partkey + 1) * power(10000, -1.5)), 12) AS lr FROM part")
+def noam_schedule(spark, d):
+    s = F.col("p_partkey") + 1
+    return read(spark, d, "part").select("p_partkey", F.round(F.pow(F.lit(768.0), F.lit(-0.5)) * F.least(F.pow(s, F.lit(-0.5)), s * F.pow(F.lit(10000.0), F.lit(-1.5))), 12).alias("lr"))
+
+
+@query("unigram_segment")
+def unigram_segment(spark, d):
+    """Names without spaces, split by a unigram model of their words (at most 10,000 words, the most frequent)."""
+    p = {r["w"]: r["p"] for r in O.witten_bell(O.word_counts(name_tokens(spark, d).where("w <> ''"))).orderBy(F.desc("p"), "w").limit(10_000).collect()}
+    split = S.applied(lambda s: S.best_segmentation(s, p))
+    return read(spark, d, "part").select("p_partkey", split(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("parts"))
+
+
+@query("lexicon_tokenize")
+def lexicon_tokenize(spark, d):
+    words = {r["w"]: float(r["cnt"]) for r in O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w").limit(10_000).collect()}
+    lists = S.lexicon_lists(words)
+    return read(spark, d, "part").select("p_partkey", S.applied(lambda s: S.greedy_lexicon(s, lists))(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("parts"))
+
+
+@query("vote_split")
+def vote_split(spark, d):
+    """Three-way vote on names without spaces: a unigram model, a greedy lexicon as the rules, and fixed boundaries."""
+    counts = O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w").limit(10_000)
+    p = {r["w"]: r["p"] for r in O.witten_bell(counts).collect()}
+    lists = S.lexicon_lists(p)
+
+    def split(s: str) -> list[str]:
+        u, r = S.best_segmentation(s, p), S.greedy_lexicon(s, lists)
+        vowels = [1.0 if c in "aeiou" else 0.0 for c in s]
+        return S.vote(s, S.spans_of(u), S.spans_of(r), S.boundary_spans(vowels, [None] * len(s), 0.5))
+
+    return read(spark, d, "part").select("p_partkey", S.applied(split)(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("parts"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
