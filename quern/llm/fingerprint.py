@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, words
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples per row of generated code, small enough for the JVM to compile; SAMPLES must be a multiple.
 GROUP = 4
 SMALLEST = -(2**63)
