@@ -366,10 +366,10 @@ def pivot_matrix(spark, d):
     return e.fillna(0)
 
 
-@query("running_mean", "SELECT event_id, round(sum(value) OVER w / count(*) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("running_mean", "SELECT event_id, (sum(round(value * 100)::BIGINT) OVER w)::DOUBLE / count(*) OVER w AS mean_cents FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def running_mean(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, d, "events").select("event_id", F.round(F.sum("value").over(w) / F.count("*").over(w), 4).alias("mean"))
+    return read(spark, d, "events").select("event_id", (F.sum(F.round(F.col("value") * 100).cast("long")).over(w) / F.count("*").over(w)).alias("mean_cents"))
 
 
 @query("vote_repeats", "SELECT label, e AS item, count(*) AS n FROM (SELECT label, vec_id % 50 AS e FROM embeddings) GROUP BY label, e HAVING count(*) > 1")
