@@ -13,58 +13,77 @@ document never leave the partition that its text is in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpoint, words
+from quern.llm.common import SPACE_CLASS, checkpoint
 
 SAMPLES = 64
-#: Samples per row of generated code, small enough for the JVM to compile; SAMPLES must be a multiple.
-GROUP = 4
+#: Samples per row of generated code, small enough for the JVM to compile; SAMPLES must be a multiple. One is quickest.
+GROUP = 1
+#: Bins of the gamma distribution's inverse, a power of two.
+BINS = 512
 SMALLEST = -(2**63)
 _LENGTH_BITS = 12
 
 
-def _draws(term: Column, i: Column) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term for sample i."""
-    h = F.xxhash64(term, i)
-    g = F.xxhash64(h)
-    unit = lambda x, bits: (x + 0.5) / F.lit(float(2**bits))
-    r = -F.ln(unit(F.shiftrightunsigned(h, 32), 32) * unit(h.bitwiseAND(F.lit(2**32 - 1)), 32))
-    c = -F.ln(unit(F.shiftrightunsigned(g, 42), 22) * unit(F.shiftrightunsigned(g, 20).bitwiseAND(F.lit(2**22 - 1)), 22))
-    return F.greatest(r, F.lit(1e-9)), F.ln(c), unit(g.bitwiseAND(F.lit(2**20 - 1)), 20)
+def _quantiles(bins: int) -> np.ndarray:
+    """Gamma(2, 1) at 0, 1/bins, ... 1 by bisection of its distribution function 1 - (1 + x) exp(-x); at 1, the last finite
+    step is taken half as far again."""
+    u = np.arange(1, bins) / bins
+    low, high = np.zeros(bins - 1), np.full(bins - 1, 64.0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        less = 1 - (1 + middle) * np.exp(-middle) < u
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
+    return np.concatenate([[0.0], low, [1.5 * low[-1]]])
 
 
-def _bid(lw: Column, r: Column, lc: Column, b: Column) -> Column:
-    return lc - r * (F.floor(lw / r + b) - b + 1)
+def _table(values: np.ndarray) -> Callable[[Column, Column], Column]:
+    """Looks up bin k at the fraction f of its width: the value between its two ends."""
+    at, step = F.lit([float(x) for x in values[:-1]]), F.lit([float(x) for x in np.diff(values)])
+    return lambda k, f: F.get(at, k) + F.get(step, k) * f
 
 
-def _coded(w: Column, mark: int) -> Column:
-    """Each word as a number: 51 bits of hash, 12 of length, 1 that tells which text it is from."""
-    length = lambda x: F.least(F.length(x), F.lit(2**_LENGTH_BITS - 1)).cast("long")
-    return F.transform(w, lambda x: F.shiftleft(F.xxhash64(x), _LENGTH_BITS + 1).bitwiseOR(F.shiftleft(length(x), 1)).bitwiseOR(F.lit(mark).cast("long")))
+def _draws(term: Column, i: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term for sample i.
 
+    r and ln c come from 32 bits of hash each by the inverse of the distribution function, a straight line in each of
+    BINS bins; a logarithm costs the JVM more than the rest of a draw. The least c decide samples of long texts, so that
+    c's first bin is the inverse's series instead: with s = sqrt(2u), c = s + s^2/3 + 11 s^3/72 to third order.
+    """
+    h = F.xxhash64(term, i)
+    g = F.xxhash64(h)
+    width = 32 - BINS.bit_length() + 1
+    bin_of = lambda x: F.shiftright(x, width).cast("int")
+    rest = lambda x: (x.bitwiseAND(F.lit(2**width - 1)) + F.lit(0.5)) * F.lit(2.0**-width)
+    q = _quantiles(BINS)
+    x, y = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(2**32 - 1))
+    s = F.sqrt((y + F.lit(0.5)) * F.lit(2.0**-31))
+    few = F.ln(s * (s * (s * F.lit(11 / 72) + F.lit(1 / 3)) + F.lit(1.0)))
+    lc = F.when(bin_of(y) == 0, few).otherwise(_table(np.log(np.maximum(q, 1e-9)))(bin_of(y), rest(y)))
+    return _table(q)(bin_of(x), rest(x)), lc, F.shiftrightunsigned(g, 12) * F.lit(2.0**-52)
 
-def weights(text: Column, edited: Column) -> Column:
-    """Array of (term, n, m): each term of either text with its count in the text and in the edited text."""
-    codes = F.sort_array(F.concat(_coded(words(text), 0), _coded(words(edited), 1)))
-    starts = lambda s: F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get(s, i - 1).alias("y"))), lambda v: v["y"].isNull() | (v["x"] != v["y"])), lambda v: F.struct(v["x"].alias("x"), v["i"].alias("i")))
 
-    def terms(s: Column, p: Column) -> Column:
-        end = lambda k: F.coalesce(F.get(p, k + 1)["i"], F.size(s)).cast("long")
-        term = lambda v: F.shiftrightunsigned(v["x"], 1)
-        run = F.transform(p, lambda v, k: F.struct(term(v).alias("term"), v["x"].bitwiseAND(F.lit(1).cast("long")).alias("mark"), (end(k) - v["i"]).alias("n")))
+def _bid(lw: Column, r: Column, lc: Column, b: Column) -> Column:
+    return lc - r * (F.floor(lw / r + b) - b + 1)
 
-        def paired(q: Column) -> Column:
-            # a term of both texts is two runs next to each other: the first takes the second's count, the second goes
-            both = lambda v, k: (v["mark"] == 0) & F.coalesce(F.get(q, k + 1)["term"] == v["term"], F.lit(False))
-            gone = lambda v, k: (v["mark"] == 1) & F.coalesce(F.get(q, k - 1)["term"] == v["term"], F.lit(False))
-            out = F.transform(q, lambda v, k: F.when(gone(v, k), F.lit(None)).otherwise(F.struct(v["term"].alias("term"), F.when(v["mark"] == 0, v["n"]).otherwise(0).alias("n"), F.when(v["mark"] == 1, v["n"]).when(both(v, k), F.get(q, k + 1)["n"]).otherwise(0).alias("m"))))
-            return F.filter(out, lambda v: v.isNotNull())
 
-        return F.element_at(F.transform(F.array(run), paired), 1)
+def weights(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, n, m: each term of either text with its count in the text and in the edited text.
 
-    return F.element_at(F.transform(F.array(codes), lambda s: F.element_at(F.transform(F.array(starts(s)), lambda p: terms(s, p)), 1)), 1)
+    A term is 51 bits of a word's hash and 12 of its length. A row without words has one null term.
+    """
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.col("text").alias("t"), F.lit(0).alias("mark")), F.struct(F.col("edited").alias("t"), F.lit(1).alias("mark")))).alias("v"))
+    each = both.select(*keys, F.col("v.mark").alias("mark"), F.explode(F.split(F.coalesce("v.t", F.lit("")), SPACE_CLASS)).alias("w"))
+    length = F.least(F.length("w"), F.lit(2**_LENGTH_BITS - 1)).cast("long")
+    term = F.shiftleft(F.xxhash64("w"), _LENGTH_BITS).bitwiseAND(F.lit(2**63 - 1)).bitwiseOR(length)
+    # an empty piece at a text's edge, or of a text without words, is the null term: it keeps its row, and bids nothing
+    each = each.select(*keys, F.when(F.col("w") != "", term).alias("term"), F.col("mark").cast("long").alias("mark"))
+    return each.groupBy(*keys, "term").agg(F.sum(1 - F.col("mark")).alias("n"), F.sum("mark").alias("m"))
 
 
 def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -72,10 +91,9 @@ def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> Data
 
     Partitioned by the first key, rows need no exchange. A text without words has samples of 0.
     """
-    each = rows.select(*keys, F.explode_outer(weights(F.col("text"), F.col("edited"))).alias("v"), )
-    length = F.col("v.term").bitwiseAND(F.lit(2**_LENGTH_BITS - 1))
-    lw = lambda n: F.when(F.col(f"v.{n}") > 0, F.ln((F.col(f"v.{n}") * length).cast("double")))
-    each = each.select(*keys, F.col("v.term").alias("term"), lw("n").alias("lw"), lw("m").alias("lm"))
+    length = F.col("term").bitwiseAND(F.lit(2**_LENGTH_BITS - 1))
+    lw = lambda n: F.when(F.col(n) > 0, F.ln((F.col(n) * length).cast("double")))
+    each = weights(rows, keys).select(*keys, "term", lw("n").alias("lw"), lw("m").alias("lm"))
     each = each.withColumn("g", F.explode(F.array(*(F.lit(k * GROUP) for k in range(samples // GROUP)))))
     drawn = each.select(*keys, "g", "lw", "lm", *(x.alias(f"{n}{i}") for i in range(GROUP) for n, x in zip("rcb", _draws(F.col("term"), F.col("g") + i), strict=True)))
     least = [F.min(_bid(F.col(w), *(F.col(f"{n}{i}") for n in "rcb"))).alias(f"{w}{i}") for w in ("lw", "lm") for i in range(GROUP)]
@@ -124,14 +142,17 @@ def query(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     full = rows.join(heads, "key").withColumn("rid", F.monotonically_increasing_id()).withColumn("n_chars", n)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - cut), F.substring(F.col("head"), F.lit(1), cut))
     full = full.withColumn("edited", edited).withColumn("sha", F.sha2(edited.cast("binary"), 256))
-    keys = ["key", "rid", "next", "n_chars", "sha"]
+    # numbers are quicker to group by than strings
+    quarters = [f"sha{i}" for i in range(4)]
+    full = full.select("*", *(F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(q) for i, q in enumerate(quarters)))
+    keys = ["key", "rid", "next", "n_chars", *quarters]
     signed = checkpoint(signatures(full.select(*keys, "text", "edited"), keys, samples))
     other = signed.groupBy("key").agg(F.min("sig").alias("next_sig")).withColumnRenamed("key", "next")
     out = signed.join(other, "next")
     return out.select(
         F.when(F.col("key") != SMALLEST, F.col("key")).alias("doc_id"),
         "n_chars",
-        F.col("sha").alias("edited_sha256"),
+        F.lower(F.concat(*(F.lpad(F.hex(q), 16, "0") for q in quarters))).alias("edited_sha256"),
         text_of(F.col("sig")).alias("fingerprint"),
         text_of(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
