@@ -28,8 +28,6 @@ from quern.llm.common import batches, fewest
 #: Labelled documents that are learned from, at most.
 MAX_TOXIC = 2000
 MAX_ORDINARY = 4000
-#: Words of a learned document that are counted, at most (all words of a text are scored).
-MAX_LEARN_WORDS = 2000
 HELD_OUT_FOLD, FOLDS = 0, 5
 PASSAGE = 8
 DISCOUNTS = (1.5, 6.0, 20.0)
@@ -89,16 +87,32 @@ class Model:
 def _class_counts(docs: list[list[bytes]]) -> tuple[Counter, Counter]:
     """Bigrams by the documents they are in, and continuation counts (distinct words before a word).
 
-    A document of which over half the bigrams are known already is a copy and adds no evidence.
+    A copy of one other document adds no evidence.
     """
     pairs: Counter = Counter()
-    for w in docs:
-        own = set(zip((b"", *w[:-1]), w, strict=True))
-        if sum(p in pairs for p in own) * 2 <= len(own):
-            pairs.update(own)
+    for own in _originals([set(zip((b"", *w[:-1]), w, strict=True)) for w in docs]):
+        pairs.update(own)
     return pairs, Counter(second for _, second in pairs)
 
 
+def _originals(docs: list[set]) -> list[set]:
+    """Those that are no copy of one before: of no single one that stays they share over half of the larger's bigrams."""
+    spread = Counter(p for own in docs for p in own)
+    holders: dict[tuple[bytes, bytes], list[int]] = {}
+    kept: list[set] = []
+    for own in docs:
+        # over half of the bigrams are shared, so one of the rarer half is
+        rare = sorted((p for p in own if spread[p] > 1), key=lambda p: (spread[p], p))
+        rare = rare[: max(0, (len(own) + 1) // 2 - (len(own) - len(rare)))]
+        near = {k for p in rare for k in holders.get(p, ())}
+        if not any(2 * len(own & kept[k]) > max(len(own), len(kept[k])) for k in near):
+            for p in own:
+                if spread[p] > 1:
+                    holders.setdefault(p, []).append(len(kept))
+            kept.append(own)
+    return kept
+
+
 def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float) -> Model:
     """The two models as log ratios. discount: taken from every count and given to the level below."""
     (tp, tc), (op, oc) = _class_counts(toxic), _class_counts(ordinary)
@@ -165,7 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarr
 
 def learn(rows: list[tuple[int, str | None, int]]) -> Model:
     """rows: doc_id, text, toxic. Counts on one half choose the discount and the link on the other; then all count."""
-    docs = [(zlib.crc32(b"half" + str(i).encode()) % 2, tokens(t)[:MAX_LEARN_WORDS], y) for i, t, y in rows]
+    docs = [(zlib.crc32(b"half" + str(i).encode()) % 2, tokens(t), y) for i, t, y in rows]
     if len({y for *_, y in docs}) < 2:
         base = 30.0 if docs and docs[0][2] else -30.0
         return Model({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, base))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quern.llm import lm
+from quern.llm import lm, toxicity
 
 
 def test_lm_fit_reads_all_words_of_all_documents(spark, monkeypatch):
@@ -20,3 +20,16 @@ def test_lm_fit_reads_all_words_of_all_documents(spark, monkeypatch):
         out = lm.query(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
         score.append(out[0]["score"] - out[0]["base_score"])
     assert score[0] > score[1] + 1
+
+
+def test_toxicity_learns_from_whole_texts():
+    rows = [(i, " ".join(f"w{(i // 2 * 31 + k * k) % 997}" for k in range(2100)) + (" vile rotten swine" * 3 if i % 2 else ""), i % 2) for i in range(60)]
+    model = toxicity.learn(rows)
+    assert model.score("vile rotten swine") > 0.75 and model.score("w1 w2 w3") < 0.5
+
+
+def test_toxicity_leaves_out_copies_of_one_document_only():
+    a, b = ([f"{c}{k}".encode() for k in range(40)] for c in "ab")
+    mixed = [*a[:20], *b[:20]]
+    pairs, _ = toxicity._class_counts([a, b, mixed, a, [*a, b"z"]])
+    assert pairs[a[3], a[4]] == 2 and pairs[b[3], b[4]] == 2
