@@ -394,15 +394,15 @@ def noam_schedule(spark, d):
 
 @query("unigram_segment")
 def unigram_segment(spark, d):
-    """Names without spaces, split by a unigram model of their words (at most 10,000 words, the most frequent)."""
-    p = {r["w"]: r["p"] for r in O.witten_bell(O.word_counts(name_tokens(spark, d).where("w <> ''"))).orderBy(F.desc("p"), "w").limit(10_000).collect()}
+    """Names without spaces, split by a unigram model of their words."""
+    p = {r["w"]: r["p"] for r in O.witten_bell(O.word_counts(name_tokens(spark, d).where("w <> ''"))).orderBy(F.desc("p"), "w").collect()}
     split = S.applied(lambda s: S.best_segmentation(s, p))
     return read(spark, d, "part").select("p_partkey", split(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("parts"))
 
 
 @query("lexicon_tokenize")
 def lexicon_tokenize(spark, d):
-    words = {r["w"]: float(r["cnt"]) for r in O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w").limit(10_000).collect()}
+    words = {r["w"]: float(r["cnt"]) for r in O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w").collect()}
     lists = S.lexicon_lists(words)
     return read(spark, d, "part").select("p_partkey", S.applied(lambda s: S.greedy_lexicon(s, lists))(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("parts"))
 
@@ -410,7 +410,7 @@ def lexicon_tokenize(spark, d):
 @query("vote_split")
 def vote_split(spark, d):
     """Three-way vote on names without spaces: a unigram model, a greedy lexicon as the rules, and fixed boundaries."""
-    counts = O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w").limit(10_000)
+    counts = O.word_counts(name_tokens(spark, d)).orderBy(F.desc("cnt"), "w")
     p = {r["w"]: r["p"] for r in O.witten_bell(counts).collect()}
     lists = S.lexicon_lists(p)
 
