@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a temporary folder only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a local session (tests) gets a temporary folder; on a cluster, where such a folder would be
+    another one on each machine, this is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(folder)
         return folder
@@ -41,11 +51,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns the table. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,7 +97,7 @@ class Encoder:
     encoding each whole text.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 800_000
     JOIN = 4000
     _made: dict[str, Encoder] = {}
 
@@ -102,7 +112,6 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         self.lf = int(np.frombuffer(lf, "<u4")[0]) if len(lf) == 4 else None
         self.cache["\n"] = lf
-        self.seen = bytearray(1 << 24)
         self.model = self._bare()
 
     def _bare(self):
@@ -150,65 +159,99 @@ class Encoder:
             return
         raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
         starts = [0, *(4 * at + 4).tolist()]
-        out.update((c, raw[x:y]) for c, x, y in zip(part, starts, ends, strict=True))
+        out.update(zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
 
-    def _cuts(self, cuts: list[str]) -> dict[str, bytes]:
-        # punctuation after a letter or digit is a piece of its own, so a known stem needs no encoding
-        marked, stems = [], set()
-        for c in cuts:
+    def cuts(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of single cuts."""
+        out: dict[str, bytes] = {}
+        plain, rest, marked = [], [], []
+        stems: dict[str, None] = {}
+        known, marks = self.cache, self.marks
+        for c in new:
+            if self.model and (c.isascii() or max(c) < "\u0250") and c[c[0] == " " :].isalpha():
+                plain.append(c)
+                continue
+            # punctuation after a letter or digit is a piece of its own, so a known stem needs no encoding
             stem = c.rstrip(_MARKS)
             if len(stem) < len(c) and stem[-1:].isalnum() and "<|" not in c:  # that may begin a special token
                 marked.append((c, stem, c[len(stem) :]))
-                stems.add(stem)
-        if marked:
-            gone = {c for c, _, _ in marked}
-            cuts = [*{c for c in cuts if c not in gone} | {c for c in stems if c not in self.cache}]
-        plain = [c for c in cuts if c[c[0] == " " :].isalpha() and max(c) < "\u0250"] if self.model else []
-        out = self._letters(plain)
-        tails = {t for _, _, t in marked if t not in self.marks}
-        rest = [c for c in cuts if c not in out]
+                if stem not in known:
+                    stems[stem] = None
+            else:
+                rest.append(c)
+        if stems:
+            whole = {*plain, *rest}
+            for c in stems:
+                if c not in whole:
+                    (plain if self.model and (c.isascii() or max(c) < "\u0250") and c[c[0] == " " :].isalpha() else rest).append(c)
+        if plain:
+            out = self._letters(plain)
         for i in range(0, len(rest), self.JOIN):
             part = rest[i : i + self.JOIN]
             self._part(out, part, self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids)
-        tails = dict(zip(tails, self._ids(list(tails)), strict=True))
-        if len(self.marks) < 10_000:
-            self.marks.update(tails)
-        for c, stem, tail in marked:
-            out[c] = (out[stem] if stem in out else self.cache[stem]) + (tails[tail] if tail in tails else self.marks[tail])
+        if marked:
+            tails = list({t for _, _, t in marked if t not in marks})
+            tails = dict(zip(tails, self._ids(tails), strict=True))
+            if len(marks) < 10_000:
+                marks.update(tails)
+            get, other = out.get, known.get
+            out.update([(c, (get(stem) or other(stem)) + (marks.get(tail) or tails[tail])) for c, stem, tail in marked])
         return out
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cache, cuts, every, whole = self.cache, [], set(), {}
+    def flat(self, texts: Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with the id `end` after it if there is one, and where each text begins
+        in it (one more entry, for the last one's end)."""
+        cuts: list[list[str]] = []
+        whole: dict[int, str] = {}
         for i, text in enumerate(texts):
             text = text or ""
-            cut = [] if "\x00" in text or self.lf is None else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-            if not cut:
+            if "\x00" in text or self.lf is None:
                 whole[i] = text
-            every.update(cut)
-            cuts.append(cut)
-        # one look into the large cache for each cut of the batch; the small table is quick
-        table = dict(zip(every, map(cache.get, every), strict=True))
-        new = [c for c, x in table.items() if x is None]
+                cuts.append([])
+            else:
+                cuts.append(text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if text else [])
+        row = list(chain.from_iterable(cuts))
+        distinct = list(dict.fromkeys(row))
+        raw = list(map(self.cache.get, distinct))
+        new = [c for c, x in zip(distinct, raw, strict=True) if x is None]
         odd = {c for c in new if not c or c[-1].isspace() or c[c[0] == " "].isspace()}
         if odd:
             whole.update((i, "".join(cut)) for i, cut in enumerate(cuts) if not odd.isdisjoint(cut))
             new = [c for c in new if c not in odd]
-        made = self._cuts(new) if new else {}
-        table.update(made)
-        if whole:
-            whole = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        out = [whole[i] if i in whole else b"".join(map(table.__getitem__, cut)) for i, cut in enumerate(cuts)]
-        # a cut is kept once it is seen in a second batch: most are never seen again
-        seen, mask = self.seen, len(self.seen) - 1
-        if len(cache) < self.LIMIT:
-            for c, raw in made.items():
-                h = hash(c) & mask
-                if seen[h]:
-                    if len(c) <= 64:
-                        cache[c] = raw
-                else:
-                    seen[h] = 1
-        return out
+        made = self.cuts(new) if new else {}
+        if len(self.cache) < self.LIMIT:
+            self.cache.update((c, x) for c, x in made.items() if len(c) <= 32)
+        get = made.get
+        raw = [x if x is not None else get(c, b"") for c, x in zip(distinct, raw, strict=True)]
+        if whole:  # such a text is one piece, under a name that no cut has
+            for i, x in zip(whole, self._ids(list(whole.values())), strict=True):
+                cuts[i] = [f"\x00{i}"]
+                distinct.append(cuts[i][0])
+                raw.append(x)
+        if end is not None:
+            distinct.append("\x00")
+            raw.append(np.array([end], "<u4").tobytes())
+            for cut in cuts:
+                cut.append("\x00")
+        if whole or end is not None:
+            row = list(chain.from_iterable(cuts))
+        index = dict(zip(distinct, range(len(distinct)), strict=True))
+        at = np.fromiter(map(index.__getitem__, row), np.int64, len(row))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        out, sums = gathered(np.frombuffer(b"".join(raw), "<u4"), size, at)
+        return out, sums[np.concatenate([[0], np.cumsum([len(cut) for cut in cuts])]).astype(np.int64)]
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        ids, at = self.flat(texts)
+        return [ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def gathered(values: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values lie in runs of these sizes: the runs number `at`, one after the other, and where each of them begins."""
+    first = np.cumsum(size) - size
+    each = size[at]
+    sums = np.concatenate([[0], np.cumsum(each)])
+    return values[np.repeat(first[at] - sums[:-1], each) + np.arange(sums[-1])], sums
 
 
 #: ASCII punctuation, which the pre-tokenizer keeps apart from letters and digits.
@@ -237,7 +280,44 @@ def fewest(df: DataFrame, name: str, most: int) -> DataFrame:
     return df.orderBy(h).limit(most)
 
 
-def batches(batch, rows: int = 1024):
-    """Slices of an Arrow batch, to bound what Python holds at once."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def batches(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch of at most so many rows and bytes of text, to bound what Python holds at once. A longer
+    text is a slice of its own."""
+    n = batch.num_rows
+    if not n:
+        return
+    total = np.zeros(n, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(total)
+    at = 0
+    while at < n:
+        most = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+        end = max(at + 1, min(at + rows, most, n))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+#: Keys that are split are the most frequent ones: no more than this, whatever the size of the table.
+MOST_HOT = 65_536
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 4096) -> DataFrame:
+    """keys and salts int: the keys with more than `least` rows, and more than a MOST_HOT-th of all, and in how many parts
+    to deal them. counts: keys, n. At most MOST_HOT rows, so that the result may be broadcast."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    most = max(least, -(-int(total) // MOST_HOT))
+    return counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / most).cast("int").alias("salts"))
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """rows with salt int: the part that a row of a hot key goes to, by a hash of `by`; 0 for the others."""
+    out = rows.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (few for a key) with salt int: one copy for each part of a hot key."""
+    out = rows.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")

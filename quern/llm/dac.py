@@ -2,11 +2,12 @@
 
 Ids are split into chunks of 8 bits, lowest first. Level k holds the k-th chunk of every id that has one, a bitmap that
 tells whether the id goes on at the next level, and a rank directory (ones before each 512 bits). Reading id i takes
-one chunk and one rank per level, whatever its position: no block is decoded.
+one chunk and one rank per level, whatever its position: no block is decoded. A run of ids, such as a document, takes
+one rank per level, too: at each level its chunks lie side by side from there on.
 
 File image (little-endian): magic, counts, document ids, document starts, then the levels. Documents are range-sorted
-by doc_id and written in segments, one image a row of a Parquet table (part, seq, payload), so that any store Spark
-can write holds them; `export` writes plain files.
+by doc_id and written in segments, one image a row of an uncompressed Parquet table (part, seq, payload), so that any
+store Spark can write holds them; `export` writes plain files, which may be mapped into memory.
 """
 
 from __future__ import annotations
@@ -51,96 +52,134 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
 
 
 class Image:
-    """Reads an image: `ids()` all, `document(k)` one document, `self[i]` one id."""
+    """Reads an image, of which it takes only what it is asked for: `self[i]` one id, `slice(x, y)` a run of them,
+    `document(k)` those of a document, `find(doc_id)` a document's number.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    data: bytes, a mapped file, or anything whose slices are bytes.
+    """
+
+    def __init__(self, data):
+        self.data = memoryview(data) if isinstance(data, bytes | bytearray) else data
+        head = bytes(self.data[0:32])
+        if head[:8] != MAGIC:
             raise ValueError("not an image of directly addressable codes")
-        self.n, self.n_docs, n_levels = struct.unpack_from("<QQQ", data, 8)
-        at = 32
-        self.doc_ids = np.frombuffer(data, "<i8", self.n_docs, at)
-        at += 8 * self.n_docs
-        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at).astype(np.int64)
-        at += 8 * (self.n_docs + 1)
-        self.levels = []
+        self.n, self.n_docs, n_levels = struct.unpack_from("<QQQ", head, 8)
+        at = 32 + 8 * self.n_docs + 8 * (self.n_docs + 1)
+        self.levels = []  # where each level's chunks, bitmap and rank directory are
         for _ in range(n_levels):
-            n, r = struct.unpack_from("<QQ", data, at)
-            at += 16
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            at += n
-            bits = np.frombuffer(data, np.uint8, (r - 1) * BLOCK // 8, at)
-            at += len(bits)
-            self.levels.append((chunks, bits, np.frombuffer(data, "<u4", r, at)))
-            at += 4 * r
+            n, r = struct.unpack("<QQ", self.data[at : at + 16])
+            bits = at + 16 + n
+            rank = bits + (r - 1) * (BLOCK // 8)
+            self.levels.append((at + 16, bits, rank))
+            at = rank + 4 * r
+
+    def _read(self, kind: str, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.data[at : at + n * np.dtype(kind).itemsize], kind)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._read("<i8", 32, self.n_docs)
+
+    def starts(self, k: int = 0, n: int | None = None) -> np.ndarray:
+        """Where documents k to k + n begin; one more entry for the end of the last."""
+        n = self.n_docs - k if n is None else n
+        return self._read("<u8", 32 + 8 * self.n_docs + 8 * k, n + 1).astype(np.int64)
+
+    def _rank(self, bits: int, rank: int, i: int) -> int:
+        """Ones before bit i: the directory's entry, and those of the bytes since."""
+        block = i // BLOCK
+        before = self._read("u1", bits + block * BLOCK // 8, (i >> 3) + 1 - block * BLOCK // 8)
+        return int(self._read("<u4", rank + 4 * block, 1)[0]) + int(np.bitwise_count(before[:-1]).sum()) + (int(before[-1]) & ((1 << (i & 7)) - 1)).bit_count()
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value = 0
+        return int(self.slice(i, i + 1)[0])
+
+    def slice(self, x: int, y: int) -> np.ndarray:
+        """Ids x to y - 1."""
+        out, where = np.zeros(max(0, y - x), np.uint32), None
         for k, (chunks, bits, rank) in enumerate(self.levels):
-            value |= int(chunks[i]) << 8 * k
-            if not bits[i >> 3] >> (i & 7) & 1:
-                return value
-            block = i // BLOCK
-            before = bits[block * BLOCK // 8 : i >> 3]
-            i = int(rank[block]) + int(np.bitwise_count(before).sum()) + int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
-        return value
-
-    def ids(self) -> np.ndarray:
-        value, on = np.zeros((self.n, 4), np.uint8), None
-        for k, (chunks, bits, _) in enumerate(self.levels):
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)
-            if on is None:
-                value[:, 0], on = chunks, more
+            if y <= x:
+                break
+            part = self._read("u1", chunks + x, y - x)
+            more = np.unpackbits(self._read("u1", bits + (x >> 3), ((y + 7) >> 3) - (x >> 3)), bitorder="little")[x & 7 : (x & 7) + y - x].view(bool)
+            if where is None:
+                out[:] = part
+                where = np.flatnonzero(more)
             else:
-                value[on, k] = chunks
-                on[on] = more
-        return value.view("<u4").ravel()
+                out[where] |= part.astype(np.uint32) << np.uint32(8 * k)
+                where = where[more]
+            if not len(where):
+                break
+            x = self._rank(bits, rank, x)
+            y = x + len(where)
+        return out
 
     def document(self, k: int) -> np.ndarray:
-        return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint32)
+        x, y = self.starts(k, 1).tolist()
+        return self.slice(x, y)
+
+    def find(self, doc_id: int) -> int | None:
+        """The number of the first document with this id, by bisection; None if there is none."""
+        lo, hi = 0, self.n_docs
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self._read("<i8", 32 + 8 * mid, 1)[0] < doc_id:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo if lo < self.n_docs and self._read("<i8", 32 + 8 * lo, 1)[0] == doc_id else None
 
 
 def segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """part int, seq int, n_docs long, n_tokens long, payload binary; documents in ascending doc_id order, nulls first.
 
-    A null text is an empty one; each document ends with end_id. Repeated rows are documents of their own.
+    A null text is an empty one; each document ends with end_id. Repeated rows are documents of their own, in any order
+    among themselves; as rows of one id may be many, ranges part them, too.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder, seq = TaskContext.get().partitionId(), Encoder.get(tokenizer), 0
-        end = np.array([end_id], "<u4").tobytes()
-        docs_held: list[int] = []
-        held: list[bytes] = []
+        docs_held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         n = 0
 
         def image() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), np.array(docs_held, np.int64), lengths)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(held), pa.int64()), (int(lengths.sum()), pa.int64()), (payload, pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "payload"])
+            lengths = np.concatenate(sizes)
+            payload = pack(np.concatenate(held), np.concatenate(docs_held), lengths)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(lengths), pa.int64()), (int(lengths.sum()), pa.int64()), (payload, pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for big in it:
             for b in batches(big):
-                ids = b.column("doc_id").fill_null(-(2**63)).to_pylist()
-                for doc_id, raw in zip(ids, encoder.encode(b.column("text").to_pylist()), strict=True):
-                    docs_held.append(doc_id)
-                    held.append(raw + end)
-                    n += len(raw) // 4 + 1
+                doc_ids = b.column("doc_id").fill_null(-(2**63)).to_numpy()
+                ids, at = encoder.flat(b.column("text").to_pylist(), end_id)
+                x = 0
+                while x < len(doc_ids):
+                    # up to the document that fills the segment
+                    y = min(len(doc_ids), int(np.searchsorted(at[1:], at[x] + segment_ids - n, "left")) + 1)
+                    docs_held.append(doc_ids[x:y])
+                    sizes.append(np.diff(at[x : y + 1]))
+                    held.append(ids[at[x] : at[y]])
+                    n += int(at[y] - at[x])
+                    x = y
                     if n >= segment_ids:
                         yield image()
-                        docs_held, held, n, seq = [], [], 0, seq + 1
+                        docs_held, sizes, held, n, seq = [], [], [], 0, seq + 1
         if held:
             yield image()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
     return rows.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, payload binary")
 
 
 def write(docs: DataFrame, **options) -> DataFrame:
     """Writes the segments to the shared folder and returns the written table."""
-    return materialise(segments(docs, **options), "dac")
+    return materialise(segments(docs, **options), "dac", compression="none")
 
 
 def with_starts(table: DataFrame) -> DataFrame:
@@ -156,17 +195,16 @@ def with_starts(table: DataFrame) -> DataFrame:
 
 
 def read(table: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32: one row per document, from the written images."""
+    """doc_id, start, n_tokens, ids_crc32: one row per document, each read from the written images by its ranks."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for first, payload in zip(batch.column("first").to_pylist(), batch.column("payload"), strict=True):
-                image = Image(payload.as_buffer().to_pybytes())
-                raw = memoryview(image.ids()).cast("B")
-                at = image.starts.tolist()
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-                ids = pa.array(image.doc_ids, mask=image.doc_ids == -(2**63))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(image.starts[:-1] + first), pa.array(np.diff(image.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                image = Image(memoryview(payload.as_buffer()))
+                at, doc_ids = image.starts(), image.doc_ids
+                crc = [zlib.crc32(image.slice(x, y)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                ids = pa.array(doc_ids, mask=doc_ids == -(2**63))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at[:-1] + first), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return with_starts(table).select("first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -193,4 +231,10 @@ def export(table: DataFrame, folder: str) -> list[str]:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, one row per row of docs, from the written images.
+
+    A null text is an empty one and has the end id alone. Rows without a doc_id come first. Repeated rows are documents
+    of their own. Very long texts are encoded whole and make a segment of their own. An empty table gives no rows. Other
+    columns, of whatever name, are ignored.
+    """
     return read(write(docs))

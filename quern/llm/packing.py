@@ -27,25 +27,33 @@ BIN = 8
 RANK_PARTS = 64
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32. Documents over the capacity are cut; the first piece may be shorter.
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried, piece, start, length, ids_crc32. Documents over the capacity are cut; the first piece may be
+    shorter. carried: columns of docs that their pieces keep.
 
     A null text is empty and has the end id alone. Repeated rows are documents of their own.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.get(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder.get(tokenizer)
+        names = ["doc_id", *carried, "piece", "start", "length", "ids_crc32"]
         for big in it:
             for b in batches(big):
-                rows = []
-                for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    cut = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    rows += [(doc_id, k, x, y - x, zlib.crc32(raw[4 * x : 4 * y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+                ids, at = encoder.flat(b.column("text").to_pylist(), end_id)
+                size = np.diff(at)
+                n = -(-size // capacity)
+                owner = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                # the first piece is the shorter one
+                end = size[owner] - (n[owner] - 1 - piece) * capacity
+                start = np.maximum(0, end - capacity)
+                crc = [zlib.crc32(ids[x:y]) for x, y in zip((at[owner] + start).tolist(), (at[owner] + end).tolist(), strict=True)]
+                own = [b.column(c).take(pa.array(owner)) for c in ("doc_id", *carried)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], names)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in carried), "piece int, start long, length long, ids_crc32 long"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).mapInArrow(run, schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -192,22 +200,40 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = BIN)
     return out
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, width: int = BIN, parts: int = RANK_PARTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces. found must not change when it is computed again (a checkpoint or table)."""
-    spark = found.sparkSession
-    histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
-    rows = plan(histogram, capacity, width)
-    schema = "length long, r0 long, r1 long, seq0 long, offset long"
-    placed = spark.createDataFrame(rows, schema)
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    sizes = dealt.groupBy("length", "part").count()
-    before = sizes.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = dealt.withColumn("rank", rank).join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # the plan's size is bounded by the histogram's, not by the documents
+def pack(found: DataFrame, capacity: int = CAPACITY, width: int = BIN, parts: int = RANK_PARTS, by: str | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces. found must not change when it is computed again (a checkpoint or table).
+
+    by: a column of few values that are packed apart, in their order: sequences of a smaller value have smaller numbers.
+    """
+    spark, carried = found.sparkSession, [by] if by else []
+    found = found.withColumn("_by", F.col(by) if by else F.lit(0))
+    histograms: dict[int, dict[int, int]] = {}
+    for r in found.groupBy("_by", "length").count().collect():  # at most `capacity` rows for each value of by
+        histograms.setdefault(r[0], {})[r[1]] = r[2]
+    rows, first = [], 0
+    for value in sorted(histograms):
+        placed = plan(histograms[value], capacity, width)
+        rows += [(value, length, r0, r1, seq0 + first, offset) for length, r0, r1, seq0, offset in placed]
+        first += 1 + max(seq0 + r1 - r0 - 1 for _, r0, r1, seq0, _ in placed)
+    placed = spark.createDataFrame(rows, "_by int, length long, r0 long, r1 long, seq0 long, offset long")
+    # rows without a doc_id may be copies of each other, which nothing but their place parts
+    spot = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", spot), F.lit(parts)).cast("int"))
+    keys = ["_by", "length"]
+    sizes = dealt.groupBy(*keys, "part").count()
+    before = sizes.select(*keys, "part", (F.sum("count").over(Window.partitionBy(*keys).orderBy("part")) - F.col("count")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    ranked = dealt.withColumn("rank", rank).join(before, [*keys, "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # the plan's size is bounded by the histograms', not by the documents
     p = F.broadcast(placed)
-    return ranked.join(p, (ranked["length"] == p["length"]) & (ranked["rank"] >= p["r0"]) & (ranked["rank"] < p["r1"])).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("seq0") + F.col("rank") - F.col("r0")).alias("sequence_id"), "offset")
+    on = [ranked[k] == p[k] for k in keys] + [ranked["rank"] >= p["r0"], ranked["rank"] < p["r1"]]
+    return ranked.join(p, on).select("doc_id", *carried, "piece", "start", ranked["length"], "ids_crc32", (F.col("seq0") + F.col("rank") - F.col("r0")).alias("sequence_id"), "offset")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs.
+
+    A null text is empty and has the end id alone. Repeated rows, and rows without a doc_id, are documents of their own.
+    Very long texts are encoded whole and cut. An empty table gives no rows. Other columns, of whatever name, are ignored.
+    """
     return pack(checkpoint(pieces(docs)))
