@@ -13,59 +13,34 @@ document never leave the partition that its text is in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_CLASS, checkpoint
+from quern.llm.common import SPACE_CLASS, checkpoint, hot_keys, salted, spread
 
 SAMPLES = 64
-#: Samples per row of generated code, small enough for the JVM to compile; SAMPLES must be a multiple. One is quickest.
-GROUP = 1
-#: Bins of the gamma distribution's inverse, a power of two.
-BINS = 512
+#: Samples that a row of generated code draws; SAMPLES must be a multiple. With 16 the JVM no longer compiles the loop.
+GROUP = 4
 SMALLEST = -(2**63)
 _LENGTH_BITS = 12
 
 
-def _quantiles(bins: int) -> np.ndarray:
-    """Gamma(2, 1) at 0, 1/bins, ... 1 by bisection of its distribution function 1 - (1 + x) exp(-x); at 1, the last finite
-    step is taken half as far again."""
-    u = np.arange(1, bins) / bins
-    low, high = np.zeros(bins - 1), np.full(bins - 1, 64.0)
-    for _ in range(80):
-        middle = (low + high) / 2
-        less = 1 - (1 + middle) * np.exp(-middle) < u
-        low, high = np.where(less, middle, low), np.where(less, high, middle)
-    return np.concatenate([[0.0], low, [1.5 * low[-1]]])
-
-
-def _table(values: np.ndarray) -> Callable[[Column, Column], Column]:
-    """Looks up bin k at the fraction f of its width: the value between its two ends."""
-    at, step = F.lit([float(x) for x in values[:-1]]), F.lit([float(x) for x in np.diff(values)])
-    return lambda k, f: F.get(at, k) + F.get(step, k) * f
+def _exponentials(h: Column) -> Column:
+    """Gamma(2, 1) from 64 bits of hash: the sum of two exponentials, -ln(u v), each number of 32 bits."""
+    u = F.shiftrightunsigned(h, 32) + F.lit(0.5)
+    v = h.bitwiseAND(F.lit(2**32 - 1)) + F.lit(0.5)
+    return -F.ln(u * v * F.lit(2.0**-64))
 
 
-def _draws(term: Column, i: Column) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term for sample i.
-
-    r and ln c come from 32 bits of hash each by the inverse of the distribution function, a straight line in each of
-    BINS bins; a logarithm costs the JVM more than the rest of a draw. The least c decide samples of long texts, so that
-    c's first bin is the inverse's series instead: with s = sqrt(2u), c = s + s^2/3 + 11 s^3/72 to third order.
-    """
-    h = F.xxhash64(term, i)
-    g = F.xxhash64(h)
-    width = 32 - BINS.bit_length() + 1
-    bin_of = lambda x: F.shiftright(x, width).cast("int")
-    rest = lambda x: (x.bitwiseAND(F.lit(2**width - 1)) + F.lit(0.5)) * F.lit(2.0**-width)
-    q = _quantiles(BINS)
-    x, y = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(2**32 - 1))
-    s = F.sqrt((y + F.lit(0.5)) * F.lit(2.0**-31))
-    few = F.ln(s * (s * (s * F.lit(11 / 72) + F.lit(1 / 3)) + F.lit(1.0)))
-    lc = F.when(bin_of(y) == 0, few).otherwise(_table(np.log(np.maximum(q, 1e-9)))(bin_of(y), rest(y)))
-    return _table(q)(bin_of(x), rest(x)), lc, F.shiftrightunsigned(g, 12) * F.lit(2.0**-52)
+def _drawn(rows: DataFrame, keep: list[str], group: int = GROUP) -> DataFrame:
+    """keep, and r0, c0, b0, r1, ...: r, ln c and b of the row's term for samples g, g + 1, ... . Each draw has 64 bits of
+    hash of its own; a step is a projection, so that no hash is computed twice."""
+    n = range(group)
+    rows = rows.select(*keep, *(F.xxhash64("term", F.col("g") + i).alias(f"h{i}") for i in n))
+    rows = rows.select(*keep, *(f"h{i}" for i in n), *(F.xxhash64(f"h{i}").alias(f"i{i}") for i in n))
+    uniform = lambda h: F.shiftrightunsigned(F.xxhash64(h), 12) * F.lit(2.0**-52)
+    draws = ((_exponentials(F.col(f"h{i}")), F.ln(_exponentials(F.col(f"i{i}"))), uniform(F.col(f"i{i}"))) for i in n)
+    return rows.select(*keep, *(x.alias(f"{name}{i}") for i, d in enumerate(draws) for name, x in zip("rcb", d, strict=True)))
 
 
 def _bid(lw: Column, r: Column, lc: Column, b: Column) -> Column:
@@ -89,19 +64,24 @@ def weights(rows: DataFrame, keys: list[str]) -> DataFrame:
 def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys, sig and edited_sig: arrays of `samples` ints. rows: keys, text and edited; keys tell rows apart.
 
-    Partitioned by the first key, rows need no exchange. A text without words has samples of 0.
+    Partitioned by the first keys, rows need no exchange. A text without words has samples of 0.
     """
+    group = GROUP if samples % GROUP == 0 else 1
     length = F.col("term").bitwiseAND(F.lit(2**_LENGTH_BITS - 1))
     lw = lambda n: F.when(F.col(n) > 0, F.ln((F.col(n) * length).cast("double")))
     each = weights(rows, keys).select(*keys, "term", lw("n").alias("lw"), lw("m").alias("lm"))
-    each = each.withColumn("g", F.explode(F.array(*(F.lit(k * GROUP) for k in range(samples // GROUP)))))
-    drawn = each.select(*keys, "g", "lw", "lm", *(x.alias(f"{n}{i}") for i in range(GROUP) for n, x in zip("rcb", _draws(F.col("term"), F.col("g") + i), strict=True)))
-    least = [F.min(_bid(F.col(w), *(F.col(f"{n}{i}") for n in "rcb"))).alias(f"{w}{i}") for w in ("lw", "lm") for i in range(GROUP)]
+    each = each.withColumn("g", F.explode(F.array(*map(F.lit, range(0, samples, group)))))
+    drawn = _drawn(each, [*keys, "g", "lw", "lm"], group)
+    bid = lambda w, i: _bid(F.col(w), *(F.col(f"{n}{i}") for n in "rcb"))
+    drawn = drawn.select(*keys, "g", "lw", "lm", *(f"{n}{i}" for i in range(group) for n in "rcb"), *(bid("lw", i).alias(f"lw{i}") for i in range(group)))
+    # most terms have one weight in both texts
+    edited = [F.when(F.col("lm") == F.col("lw"), F.col(f"lw{i}")).otherwise(bid("lm", i)) for i in range(group)]
+    least = [F.min(x).alias(f"{w}{i}") for w, own in (("lw", [F.col(f"lw{i}") for i in range(group)]), ("lm", edited)) for i, x in enumerate(own)]
     sample = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.hash(F.col(c))), F.lit(0))
     groups = drawn.groupBy(*keys, "g").agg(*least)
-    groups = groups.select(*keys, F.struct("g", F.array(*(sample(f"lw{i}") for i in range(GROUP))).alias("o"), F.array(*(sample(f"lm{i}") for i in range(GROUP))).alias("e")).alias("v"))
-    out = groups.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("v"))  # samples / GROUP entries each
-    return out.select(*keys, F.flatten(F.transform("v", lambda x: x["o"])).alias("sig"), F.flatten(F.transform("v", lambda x: x["e"])).alias("edited_sig"))
+    groups = groups.select(*keys, F.struct("g", *(F.array(*(sample(f"{w}{i}") for i in range(group))).alias(w) for w in ("lw", "lm"))).alias("v"))
+    out = groups.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("v"))  # samples / group entries
+    return out.select(*keys, F.flatten(F.transform("v", lambda x: x["lw"])).alias("sig"), F.flatten(F.transform("v", lambda x: x["lm"])).alias("edited_sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,33 +106,43 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """One row per row of docs. A null text is empty; an empty text's fingerprint is all zeros and like another empty one.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per row of docs.
 
-    Documents follow each other by doc_id, a null id first. Where several rows share an id, the document that follows
-    another is the one whose start sorts first, and its fingerprint the least.
+    A null text is empty; an empty text's fingerprint is all zeros and like another empty one. Very long texts are taken
+    whole; words beyond 4,095 characters weigh as that many. Documents follow each other by doc_id, a null id first; a
+    single document follows itself. Repeated rows stay; where several rows share an id, the document that follows another
+    is the one whose start sorts first, and its fingerprint the least. An empty table gives no rows. Other columns, of
+    whatever name, are ignored.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    heads_of = docs.select(key.alias("key"), (F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) / 4).cast("long").alias("k")).groupBy("key").agg(F.max("k").alias("k"))
-    nexts = checkpoint(following(docs.select(key.alias("key"))).join(heads_of, "key"))
-    wanted = nexts.select(F.col("next").alias("key"), F.col("key").alias("owner"), "k")
-    heads = rows.join(wanted, "key").select(F.col("owner").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("k").cast("int")).alias("head"), F.col("key").alias("next")).groupBy("key").agg(F.min("head").alias("head"), F.first("next").alias("next"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), text.alias("text"))
+    by_key = docs.select(key.alias("key"), (F.length(text) / 4).cast("long").alias("k")).groupBy("key").agg(F.max("k").alias("k"), F.count("*").alias("n"))
+    by_key = checkpoint(following(by_key.select("key")).join(by_key, "key"))
+    hot = hot_keys(by_key, ["key"])
+    wanted = by_key.select(F.col("next").alias("key"), F.col("key").alias("owner"), "k")
+    # of a document that many rows share, each part sends the start that sorts first
+    heads = salted(rows, hot, ["key"], F.col("text")).join(spread(wanted, hot, ["key"]), ["key", "salt"])
+    heads = heads.select(F.col("owner").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("k").cast("int")).alias("head"), F.col("key").alias("next")).groupBy("key").agg(F.min("head").alias("head"), F.first("next").alias("next"))
     n = F.length("text").cast("long")
     cut = F.floor(n / 4).cast("int")
-    full = rows.join(heads, "key").withColumn("rid", F.monotonically_increasing_id()).withColumn("n_chars", n)
+    full = salted(rows, hot, ["key"], F.col("text")).join(spread(heads, hot, ["key"]), ["key", "salt"])
+    full = full.withColumn("rid", F.monotonically_increasing_id()).withColumn("n_chars", n)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - cut), F.substring(F.col("head"), F.lit(1), cut))
     full = full.withColumn("edited", edited).withColumn("sha", F.sha2(edited.cast("binary"), 256))
     # numbers are quicker to group by than strings
-    quarters = [f"sha{i}" for i in range(4)]
-    full = full.select("*", *(F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(q) for i, q in enumerate(quarters)))
-    keys = ["key", "rid", "next", "n_chars", *quarters]
-    signed = checkpoint(signatures(full.select(*keys, "text", "edited"), keys, samples))
+    quarters = [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
+    keys = ["key", "salt", "rid", "next", "n_chars", *(f"sha{i}" for i in range(4))]
+    full = full.select(*keys[:5], *quarters, "text", "edited")
+    signed = checkpoint(signatures(full, keys, samples))
     other = signed.groupBy("key").agg(F.min("sig").alias("next_sig")).withColumnRenamed("key", "next")
-    out = signed.join(other, "next")
+    # rows that share an id share the document that follows them
+    hot_next = hot.join(by_key, "key").select("next", "salts")
+    out = signed.join(spread(other, hot_next, ["next"]), ["next", "salt"])
     return out.select(
         F.when(F.col("key") != SMALLEST, F.col("key")).alias("doc_id"),
         "n_chars",
-        F.lower(F.concat(*(F.lpad(F.hex(q), 16, "0") for q in quarters))).alias("edited_sha256"),
+        F.lower(F.concat(*(F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)))).alias("edited_sha256"),
         text_of(F.col("sig")).alias("fingerprint"),
         text_of(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
