@@ -3,8 +3,12 @@
 A pair within 3 bits agrees exactly on one of four 16-bit blocks. Each distinct fingerprint is dealt once per block,
 rotated so that the block leads; the rotated fingerprints of a block value form a binary trie. The trie is joined with
 itself: node pairs descend together, the bits they differ in add up, and a pair is dropped once it exceeds the budget.
-Only distinct fingerprints take part; copies hang on their fingerprint. A block value with more than CHUNK fingerprints
-is dealt as pairs of chunks to many tasks. Tasks send stars (member, smallest member), never all pairs.
+Only distinct fingerprints take part; copies hang on their fingerprint.
+
+A block value with more than CHUNK fingerprints is dealt again by the bits that it leaves open: a pair within the budget
+agrees on one of four parts of them, too. Each round makes four copies of the hot fingerprints and lengthens their common
+prefix, from 16 bits to 28, 37 and 43, so that a task's trie is bounded whatever the number of documents. Tasks send stars
+(member, smallest member), never all pairs.
 """
 
 from __future__ import annotations
@@ -14,17 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches, checkpoint, lower_words
+from quern.llm.common import batches, checkpoint, hot_keys, lower_words, salted, spread
 from quern.llm.components import connected
 
 WIDTH = 3
 SEED = 42
 BUDGET = 3
 BLOCKS = 4
+#: Fingerprints of a block value that are joined in one piece.
 CHUNK = 4096
+#: Rounds in which larger ones are dealt again, at most. After them a prefix leaves 21 bits open.
+ROUNDS = 3
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
@@ -39,10 +46,13 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """A bit is 1 if set in over half the hashes; no words: 0."""
-    h = shingle_hashes(text, width)
-    if not h:
+    return _fold(np.array(shingle_hashes(text, width), "<u8"))
+
+
+def _fold(h: np.ndarray) -> int:
+    if not len(h):
         return 0
-    bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
@@ -65,44 +75,36 @@ def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: int) -> np.n
     return np.clip(np.searchsorted(keys, ((keys[lo] >> s) | np.uint64(1)) << s), lo, hi)
 
 
-def trie_join(a: np.ndarray, b: np.ndarray, same: bool, pairs: list[np.ndarray], depth: int, budget: int = BUDGET, leaf: int = 64, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of the sorted keys a and b that differ in at most budget bits.
+def trie_join(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int = BUDGET, most: int = 1 << 17, visits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, of the sorted keys that differ in at most budget bits.
 
-    pairs: node pairs [a_lo, a_hi, b_lo, b_hi] to start from, agreeing in the first depth bits. same: a is b, and each
-    pair is wanted once (i < j). Small node pairs are compared directly. At most about `most` node pairs are held per
-    level; more are worked off depth first.
+    lo, hi: nodes to start from, [lo, hi) of keys that agree in the first depth bits; each is joined with itself. Node
+    pairs descend to pairs of single keys. At most about `most` node pairs are held per level; more are worked off depth
+    first. visits: takes the numbers of node pairs that are looked at.
     """
-    stack = [(depth, *pairs, np.zeros(len(pairs[0]), np.int8))]
+    stack = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         d, al, ah, bl, bh, diff = stack.pop()
-        size = (ah - al) * (bh - bl)
-        small = (size <= leaf) | (d >= 64)
-        if small.any():
-            sl, sh, tl, th = al[small], ah[small], bl[small], bh[small]
-            n = (sh - sl) * (th - tl)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) >> 21)) + 1, [len(n)]])
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if y <= x:
-                    continue
-                m = n[x:y]
-                k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                w = np.repeat(th[x:y] - tl[x:y], m)
-                i, j = np.repeat(sl[x:y], m) + k // w, np.repeat(tl[x:y], m) + k % w
-                ok = np.bitwise_count(a[i] ^ b[j]) <= budget
-                if same:
-                    ok &= i < j
-                if ok.any():
-                    yield i[ok], j[ok]
-        big = ~small
-        if not big.any():
+        if visits is not None:
+            visits.append(len(al))
+        # two single keys: what they differ in below is counted at once
+        leaf = (ah - al == 1) & (bh - bl == 1)
+        if leaf.any():
+            i, j = al[leaf], bl[leaf]
+            ok = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j)
+            if ok.any():
+                yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+        deep = ~leaf
+        if not deep.any():
             continue
-        al, ah, bl, bh, diff = al[big], ah[big], bl[big], bh[big], diff[big]
-        am, bm = _split(a, al, ah, 63 - d), _split(b, bl, bh, 63 - d)
-        twin = (al == bl) & (ah == bh) if same else np.zeros(len(al), bool)
+        al, ah, bl, bh, diff = al[deep], ah[deep], bl[deep], bh[deep], diff[deep]
+        am, bm = _split(keys, al, ah, 63 - d), _split(keys, bl, bh, 63 - d)
+        twin = al == bl
         parts = [(al, am, bl, bm, diff), (am, ah, bm, bh, diff), (al, am, bm, bh, diff + 1)]
         parts = [*parts, tuple(x[~twin] for x in (am, ah, bl, bm, diff + 1))]
         nxt = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        keep = (nxt[0] < nxt[1]) & (nxt[2] < nxt[3]) & (nxt[4] <= budget)
+        # a node of one key has no pair with itself
+        keep = (nxt[0] < nxt[1]) & (nxt[2] < nxt[3]) & (nxt[4] <= budget) & ((nxt[0] != nxt[2]) | (nxt[1] - nxt[0] > 1))
         nxt = [x[keep] for x in nxt]
         for i in range(0, len(nxt[0]), most):
             stack.append((d + 1, *(x[i : i + most] for x in nxt)))
@@ -131,34 +133,35 @@ def _stars(node: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return [node[m], node[label[m]]]
 
 
-def _link(b: np.ndarray, i: np.ndarray, j: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarray, budget: int, depth: int) -> Iterator[list[np.ndarray]]:
-    """Stars of whole groups; cold groups (i = j = 0) of a block share one trie, each pair of chunks has its own two."""
-    for block in np.unique(b):
-        m = np.flatnonzero((b == block) & (j == 0))
-        if len(m):
-            m = m[np.argsort(key[m], kind="stable")]
-            k = key[m]
-            lo = np.flatnonzero(np.concatenate([[True], (k[1:] >> np.uint64(64 - depth)) != (k[:-1] >> np.uint64(64 - depth))]))
-            hi = np.append(lo[1:], len(k))
-            many = hi - lo > 1
-            lo, hi = lo[many], hi[many]
-            yield _stars(node[m], trie_join(k, k, True, [lo, hi, lo, hi], depth, budget))
-    hot = np.flatnonzero(j > 0)
-    if len(hot):
-        group = np.stack([b[hot], (key[hot] >> np.uint64(64 - depth)).astype(np.int64), i[hot], j[hot]], axis=1)
-        _, which = np.unique(group, axis=0, return_inverse=True)
-        for g in range(which.max() + 1):
-            m = hot[which.ravel() == g]
-            m = m[np.lexsort((key[m], side[m]))]
-            n = int((side[m] == i[m]).sum())
-            same = bool(i[m[0]] == j[m[0]])
-            n = len(m) if same else n
-            x, y = key[m[:n]], key[m] if same else key[m[n:]]
-            if not len(x) or not len(y):
-                continue
-            start = [np.array([v]) for v in (0, len(x), 0, len(y))]
-            found = trie_join(x, y, same, start, depth, budget)
-            yield _stars(node[m], found if same else ((p, q + n) for p, q in found))
+def _link(path: np.ndarray, depth: np.ndarray, key: np.ndarray, node: np.ndarray, budget: int) -> Iterator[list[np.ndarray]]:
+    """Stars of whole groups: rows of one path that agree in their first depth bits."""
+    for p in np.unique(path):
+        m = np.flatnonzero(path == p)
+        m = m[np.argsort(key[m], kind="stable")]
+        k, d = key[m], int(depth[m[0]])
+        prefix = k >> np.uint64(64 - d)
+        lo = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        hi = np.append(lo[1:], len(k))
+        many = hi - lo > 1
+        yield _stars(node[m], trie_join(k, lo[many], hi[many], d, budget))
+
+
+def _dealt(rows: DataFrame, agreed: int, blocks: int) -> tuple[DataFrame, int]:
+    """path, key, val, node: each row of path, key and node once for each part of the bits that the first `agreed` leave
+    open, with that part moved next to those; val: all bits that a group then agrees in. Returns their number, too."""
+    rest = 64 - agreed
+    width = rest // blocks
+    key = F.col("key")
+    if agreed:
+        tail = key.bitwiseAND(F.lit(2**rest - 1))
+        head = F.shiftleft(F.shiftrightunsigned(key, rest), rest)
+        turn = lambda n: F.shiftleft(tail, n).bitwiseOR(F.shiftrightunsigned(tail, rest - n)).bitwiseAND(F.lit(2**rest - 1)).bitwiseOR(head)
+    else:
+        turn = lambda n: F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned(key, 64 - n))
+    keys: list[Column] = [key if not n else turn(width * n) for n in range(blocks)]
+    out = rows.select("path", "node", F.posexplode(F.array(*keys)).alias("p", "key"))
+    agreed += width
+    return out.select((F.col("path") * (blocks + 1) + F.col("p") + 1).alias("path"), "key", F.shiftrightunsigned("key", 64 - agreed).alias("val"), "node"), agreed
 
 
 def links(reps: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
@@ -168,21 +171,25 @@ def links(reps: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, chunk: in
     """
     if blocks <= budget or 64 % blocks:
         raise ValueError("blocks must divide 64 and exceed the budget")
-    width = 64 // blocks
-    rot = lambda n: F.col("fp") if not n else F.shiftleft("fp", n).bitwiseOR(F.shiftrightunsigned("fp", 64 - n))
-    dealt = reps.select("node", F.posexplode(F.array(*(rot(width * k) for k in range(blocks)))).alias("b", "key")).withColumn("val", F.shiftrightunsigned("key", 64 - width))
-    hot = dealt.groupBy("b", "val").count().where(F.col("count") > chunk).select("b", "val", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
-    # chunk pairs count from 1, so that j = 0 marks a group in one piece
-    own = F.pmod(F.xxhash64("node"), "n").cast("int") + 1
-    spread = F.transform(F.sequence(F.lit(1), F.col("n")), lambda o: F.struct(F.least(o, "c").alias("i"), F.greatest(o, "c").alias("j")))
-    pieces = dealt.join(hot, ["b", "val"], "left").withColumn("c", F.when(F.col("n").isNotNull(), own).otherwise(0))
-    pieces = pieces.withColumn("p", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(spread)))
-    pieces = pieces.select("b", "val", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("c").alias("side"), "key", "node")
+    rows, agreed, pieces = reps.select(F.lit(0).cast("long").alias("path"), F.col("fp").alias("key"), "node"), 0, None
+    for k in range(ROUNDS + 1):
+        dealt, agreed = _dealt(rows, agreed, blocks)
+        dealt = dealt.withColumn("depth", F.lit(agreed))
+        hot = None
+        if k < ROUNDS and (64 - agreed) // blocks:
+            hot = checkpoint(dealt.groupBy("path", "val").count().where(F.col("count") > chunk).select("path", "val"))
+            hot = hot if hot.limit(1).count() else None
+        cold = dealt if hot is None else dealt.join(hot, ["path", "val"], "left_anti")
+        cold = cold.select("path", "val", "depth", "key", "node")
+        pieces = cold if pieces is None else pieces.unionByName(cold)
+        if hot is None:
+            break
+        rows = checkpoint(dealt.join(hot, ["path", "val"], "left_semi").select("path", "key", "node"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            c = {n: t.column(n).to_numpy() for n in ("b", "i", "j", "side", "key", "node")}
-            for x, y in _link(c["b"], c["i"], c["j"], c["side"], c["key"].view(np.uint64), c["node"], budget, width):
+            c = {n: t.column(n).to_numpy() for n in ("path", "depth", "key", "node")}
+            for x, y in _link(c["path"], c["depth"], c["key"].view(np.uint64), c["node"], budget):
                 if len(x):
                     lo, hi = np.minimum(x, y), np.maximum(x, y)
                     yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["a", "b"])
@@ -193,7 +200,7 @@ def links(reps: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, chunk: in
             if sum(x.num_rows for x in held) < 400_000:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            g = np.stack([t.column(n).to_numpy() for n in ("b", "val", "i", "j")])
+            g = np.stack([t.column(n).to_numpy() for n in ("path", "val")])
             last = t.num_rows - int(np.argmax((g[:, ::-1] != g[:, -1:]).any(axis=0)))  # the last group may go on
             if (g[:, :1] == g[:, -1:]).all():
                 continue
@@ -202,35 +209,149 @@ def links(reps: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, chunk: in
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
-    keys = ["b", "val", "i", "j"]
-    return pieces.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return pieces.repartition("path", "val").sortWithinPartitions("path", "val").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp long, component_id (smallest doc_id reachable over links of at most budget bits).
-
-    Null and blank texts have fingerprint zero, linked like any other. Repeated rows stay, one result row each; rows
-    without a doc_id have fingerprint and no component. Other columns are ignored.
-    """
+    """doc_id, fp long, component_id (smallest doc_id reachable over links of at most budget bits)."""
     fps = checkpoint(fingerprints(docs, width))
-    reps = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    comp = connected(links(reps, budget))
+    reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    comp = connected(links(reps.where("node IS NOT NULL").select("fp", "node"), budget))
     by_fp = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    hot = hot_keys(reps, ["fp"])
+    rows = salted(fps, hot, ["fp"], F.struct("doc_id", F.monotonically_increasing_id()))
+    out = rows.join(spread(by_fp, hot, ["fp"]), ["fp", "salt"])
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id, one row per row of docs.
+
+    Null and blank texts have fingerprint zero, linked like any other. Repeated rows stay, one result row each; rows
+    without a doc_id have a fingerprint and no component. Very long texts are taken whole. An empty table gives no rows.
+    Other columns, of whatever name, are ignored.
+    """
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each component stays, once if its row is repeated.
+# documents alike by their shingles ----------------------------------------------------------------------------------
+
+#: What stages that remove near copies go by: words of a shingle, and the least Jaccard similarity of two sets of them.
+STAGE_WIDTH = 5
+SIMILARITY = 0.8
+#: Least values of hashes of the shingles, in bands of ROWS: a pair at 0.8 agrees on one of 20 bands but for 1 in 30,000.
+BANDS, ROWS = 20, 4
+#: Rounds in which a band's documents meet their smallest one, at most.
+MEETINGS = 4
+_U = np.uint64
 
-    Rows without a doc_id can't be told apart and stay.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, same binary (128 bits of the words), bands: hashes of the least values, none for a text without words."""
+    seeds = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for b in batches(big):
+                fps, same, bands = [], [], []
+                for text in b.column("text").to_pylist():
+                    h = np.array(shingle_hashes(text, width), _U)
+                    fps.append(_fold(h))
+                    same.append(xxhash.xxh3_128_digest(b" ".join(lower_words(text))))
+                    least = np.full(len(seeds), -1, np.int64).view(_U)
+                    for k in range(0, len(h), 4096):
+                        part = h[k : k + 4096, None] ^ seeds
+                        part *= _U(0xD6E8FEB86659FD93)
+                        part ^= part >> _U(32)
+                        part *= _U(0xD6E8FEB86659FD93)
+                        least = np.minimum(least, part.min(axis=0))
+                    rows = least.reshape(BANDS, ROWS)
+                    band = rows[:, 0]
+                    for r in range(1, ROWS):
+                        band = _mixed(band + rows[:, r] * _U(0x9E3779B97F4A7C15))
+                    bands.append(band.view(np.int64).tolist() if len(h) else [])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64)), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b and whether they are alike: the Jaccard similarity of two documents' sets of shingles, by 64 bits of hash."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for b in batches(big):
+                out = [np.unique(np.array(shingle_hashes(t, width), "<u8")).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "set"])
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= similarity * max(1, len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "alike"])
+
+    # rows that share an id are one document: the one whose set sorts first
+    found = checkpoint(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set")))
+    hot = hot_keys(checkpoint(pairs.groupBy("b").agg(F.count("*").alias("n"))), ["b"])
+    met = salted(pairs, hot, ["b"], F.col("a")).join(spread(found.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), hot, ["b"]), ["b", "salt"])
+    met = met.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
+    return checkpoint(met.mapInArrow(judge, "a long, b long, alike boolean"))
+
+
+def groups(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component: every document that is not the smallest of its group, and the smallest. docs: doc_id, text, no
+    null ids.
+
+    Candidates are texts of equal words, SimHash neighbours, and documents that share a band of least hash values; all but
+    the first are verified. A band's documents meet the smallest of them; those that are not like it meet again without it.
+    """
+    sketches = checkpoint(_sketches(docs, width))
+    reps = checkpoint(sketches.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    hot = hot_keys(reps, ["same"])
+    equal = salted(sketches.select("same", "doc_id"), hot, ["same"], F.col("doc_id")).join(spread(reps.select("same", "node"), hot, ["same"]), ["same", "salt"])
+    edges = [checkpoint(equal.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())]
+    stars = links(reps.groupBy("fp").agg(F.min("node").alias("node"))).select("a", "b")
+    near = checkpoint(stars.where("a <> b").distinct())
+    edges.append(_alike(docs, near, width, similarity).where("alike").select("a", "b"))
+    rows = checkpoint(reps.select("node", F.posexplode("bands").alias("band", "h")))
+    for _ in range(MEETINGS):
+        least = checkpoint(rows.groupBy("band", "h").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+        if not least.limit(1).count():
+            break
+        hot = hot_keys(least, ["band", "h"])
+        met = salted(rows, hot, ["band", "h"], F.col("node")).join(spread(least.drop("n"), hot, ["band", "h"]), ["band", "h", "salt"])
+        met = checkpoint(met.where("node <> rep").select("band", "h", "node", "rep"))
+        judged = _alike(docs, met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), width, similarity)
+        edges.append(judged.where("alike").select("a", "b"))
+        unlike = judged.where("NOT alike").select(F.col("a").alias("node"), F.col("b").alias("rep"))
+        rows = checkpoint(met.join(unlike, ["node", "rep"]).select("node", "band", "h"))
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    return connected(every).select(F.col("node").alias("doc_id"), "component")
+
+
+def keep_one(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Pipeline stage: of each group of documents alike, the one with the smallest doc_id stays, once if its row is
+    repeated. All columns stay, whatever their names.
+
+    Two documents are alike if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; a text of fewer
+    words has one shingle, and texts without words are alike. Rows without a doc_id can't be told apart and stay.
     """
-    found = checkpoint(near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).collect():
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = groups(known, width, similarity).select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(docs.columns)
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).collect():
         kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     return kept
