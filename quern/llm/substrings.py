@@ -8,7 +8,8 @@ other are narrowed window by window, against each other and one representative o
 repeats merge into maximal ones by covering words.
 
 Nothing is done pair by pair: occurrences meet as counts by (anchor, reach) and (anchor, window), 128 bits of hash in
-all, and counts are combined before they are sent.
+all, and counts are combined before they are sent. Where occurrences are joined with what was found of their anchor,
+reach or window, frequent ones are dealt over many tasks by a salt.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches, materialise, plain_words
+from quern.llm.common import batches, checkpoint, hot_keys, materialise, plain_words, salted, spread
 
 LENGTH = 35
 GRAM = 8
@@ -121,18 +122,30 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     docs: key long, unique, and text.
     """
     found = materialise(_occurrences(docs, length, gram), "anchors")
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    found = materialise(found.join(shared, "anchor"), "shared")
-    reach = found.groupBy("anchor", "reach").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    own = F.struct("key", "lo")
+    # documents are joined on anchors: those that are found once go
+    shared = checkpoint(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(shared, ["anchor"])
+    joined = salted(found, hot, ["anchor"], own).join(spread(shared.select("anchor"), hot, ["anchor"]), ["anchor", "salt"])
+    found = materialise(joined.select("anchor", "reach", "key", "lo", "hi"), "shared")
+    # matches are extended both ways as far as an anchor reaches
+    reach = checkpoint(found.groupBy("anchor", "reach").agg(F.count("*").alias("n"), F.min("key").alias("first")))
     forms = reach.groupBy("anchor").agg(F.count("*").alias("forms"))
-    state = reach.join(forms, "anchor").where("n > 1 OR forms > 1")
-    spots = materialise(found.join(state, ["anchor", "reach"]).select("anchor", "key", "lo", "hi", (F.col("n") > 1).alias("whole"), ((F.col("forms") > 1) & ((F.col("n") == 1) | (F.col("key") == F.col("first")))).alias("narrow")), "spots")
+    state = salted(reach, hot, ["anchor"], F.col("reach")).join(spread(forms, hot, ["anchor"]), ["anchor", "salt"]).drop("salt")
+    state = checkpoint(state.where("n > 1 OR forms > 1"))
+    hot = hot_keys(state, ["anchor", "reach"])
+    spots = salted(found, hot, ["anchor", "reach"], own).join(spread(state, hot, ["anchor", "reach"]), ["anchor", "reach", "salt"])
+    narrow = (F.col("forms") > 1) & ((F.col("n") == 1) | (F.col("key") == F.col("first")))
+    spots = materialise(spots.select("anchor", "key", "lo", "hi", (F.col("n") > 1).alias("whole"), narrow.alias("narrow")), "spots")
     whole = spots.where("whole").select("key", "lo", "hi")
+    # where that differs, each step of the extension meets the same step elsewhere
     wanted = spots.where("narrow").groupBy("key").agg(F.collect_list(F.struct("anchor", "lo", "hi", F.col("whole").alias("known"))).alias("spots"))
     windows = materialise(_windows(docs, wanted, length), "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    single = windows.where("NOT known").join(twice, ["anchor", "window"]).select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    # a document's spans are no more than its windows
+    twice = checkpoint(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(twice, ["anchor", "window"])
+    single = salted(windows.where("NOT known"), hot, ["anchor", "window"], F.struct("key", "at")).join(spread(twice, hot, ["anchor", "window"]), ["anchor", "window", "salt"])
+    single = single.select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    # overlapping repeats are merged where words are taken out; a document's spans are no more than its windows
     return whole.union(single).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -147,12 +160,12 @@ def _kept(text: str | None, spans, length: int) -> tuple[list[bytes], int]:
     return [w[i] for i in np.flatnonzero(keep)], len(w)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that tells rows apart: a hash of all columns and a count of equal rows would need a shuffle, so
-    the key is the doc_id where ids are unique, and otherwise rows are numbered once and written."""
-    n, ids, few = docs.agg(F.count("*"), F.count("doc_id"), F.approx_count_distinct("doc_id", 0.02)).first()
-    if n == ids and few >= 0.9 * n and not docs.groupBy("doc_id").count().where("count > 1").limit(1).collect():
-        return docs.withColumn("key", F.col("doc_id").cast("long"))
+def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:
+    """docs with a key that tells rows apart: the doc_id where ids are unique, and otherwise rows are numbered once and
+    written. No column of docs but doc_id may be called key."""
+    n, ids, few = docs.agg(F.count("*"), F.count(doc_id), F.approx_count_distinct(doc_id, 0.02)).first()
+    if n == ids and few >= 0.9 * n and not docs.groupBy(doc_id).count().where("count > 1").limit(1).collect():
+        return docs.withColumn("key", F.col(doc_id).cast("long"))
     return materialise(docs.withColumn("key", F.monotonically_increasing_id()), "numbered")
 
 
@@ -160,9 +173,10 @@ def query(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per row of docs.
 
     A null or blank text has no words and keeps the empty text. Repeated rows are documents of their own, so that their
-    windows repeat. Other columns are ignored.
+    windows repeat. Very long texts are taken whole. An empty table gives no rows. Other columns, of whatever name, are
+    ignored.
     """
-    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
     spans = repeats(rows, length, gram)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,24 +195,27 @@ def query(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Pipeline stage: docs with repeated words taken out of text; n_chars, where there is one, follows.
 
-    A text that loses no word stays as it is; else its kept words are joined by spaces. All rows stay.
+    A text that loses no word stays as it is, a null one null; else its kept words are joined by spaces. All rows and
+    columns stay, whatever the columns' names; repeated rows are documents of their own.
     """
-    columns = docs.columns
-    rows = _keyed(docs)
-    spans = repeats(rows.select("key", "text"), length, gram)
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name meets one of ours
+    doc_id, text_at, chars_at = (f"c{names.index(n)}" if n in names else None for n in ("doc_id", "text", "n_chars"))
+    rows = _keyed(inner, doc_id)
+    spans = repeats(rows.select("key", F.col(text_at).cast("string").alias("text")), length, gram)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for b in batches(big):
                 new = []
-                for text, s in zip(b.column("text").to_pylist(), b.column("spans"), strict=True):
+                for text, s in zip(b.column(text_at).to_pylist(), b.column("spans"), strict=True):
                     if s.is_valid:
                         text = b" ".join(_kept(text, s.values, length)[0]).decode("utf-8", "surrogatepass")
                     new.append(text)
-                cols = {c: b.column(c) for c in columns}
-                cols["text"] = pa.array(new, cols["text"].type)
-                if "n_chars" in cols:
-                    cols["n_chars"] = pa.array([len(t) if t is not None and s.is_valid else c for t, s, c in zip(new, b.column("spans"), b.column("n_chars").to_pylist(), strict=True)], cols["n_chars"].type)
+                cols = {c: b.column(c) for c in b.schema.names if c != "spans"}
+                cols[text_at] = pa.array(new, cols[text_at].type)
+                if chars_at:
+                    cols[chars_at] = pa.array([len(t) if t is not None and s.is_valid else c for t, s, c in zip(new, b.column("spans"), b.column(chars_at).to_pylist(), strict=True)], cols[chars_at].type)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return rows.join(spans, "key", "left").select(*columns, "spans").mapInArrow(run, docs.schema)
+    return rows.join(spans, "key", "left").select(*inner.columns, "spans").mapInArrow(run, inner.schema).toDF(*names)
