@@ -1,20 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-One model is counted from toxic and one from ordinary documents. Each interpolates bigrams with the class's own
-continuation counts (distinct words before a word), and those with continuation counts shared by both classes, so that
-rare expressions are as likely in one class as in the other. A text's passages are compared by the models'
-log-likelihoods per word; the whole text and its most telling passage feed a logistic link, fitted on labelled
-documents that the counts have not seen.
-
-Labels are learned from a bounded sample: at most MAX_TOXIC and MAX_ORDINARY documents, chosen by a hash of doc_id. The
-model that goes to the executors holds words and bigrams of that sample only.
+One model is counted from toxic and one from ordinary documents. Each interpolates bigrams, absolutely discounted, with
+the class's own continuation counts (distinct words before a word), and those with continuation counts shared by both
+classes, so that rare expressions are as likely in one class as in the other. A text is judged by the two models'
+log-likelihoods per word, of the whole text and of its most toxic passage; a logistic link on these two ratios is fitted
+on labelled documents that the counts have not seen.
+
+A bigram's count is the number of documents that hold it, so that no document's own words weigh by their repetition. The
+discount is the one of DISCOUNTS with the least loss on documents that the counts have not seen; None stands for Kneser
+and Ney's estimate n1 / (n1 + 2 n2) from the counts of counts. That estimate leaves words of one or two documents enough
+weight to drown the expressions that toxic documents share, see README.
+
+Labels are learned from a bounded sample: at most MAX_TOXIC and MAX_ORDINARY documents, chosen by a hash of doc_id, each
+with its whole text. The model that goes to the executors holds words and bigrams of that sample only.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +33,9 @@ from quern.llm.common import batches, fewest
 MAX_TOXIC = 2000
 MAX_ORDINARY = 4000
 HELD_OUT_FOLD, FOLDS = 0, 5
+#: Words of a passage.
 PASSAGE = 8
-DISCOUNTS = (1.5, 6.0, 20.0)
-LEAST_COUNT = 2
+DISCOUNTS = (None, 3.0, 6.0, 12.0, 24.0)
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -46,30 +50,30 @@ def fold(doc_id: int | None) -> int:
 
 @dataclass
 class Model:
+    """Log ratios of the toxic to the ordinary model. Words are numbered in the order of index; the number after the last
+    stands for all other words, and for the place before a text."""
+
     index: dict[bytes, int]
-    uni: np.ndarray  # log ratio toxic to ordinary of a word after an unseen context
-    keys: np.ndarray  # bigrams with counts, as first * size + second, sorted
-    both: np.ndarray  # log ratio of those bigrams
+    uni: np.ndarray  # of a word by continuation counts alone
+    back: np.ndarray  # of the weights that the models give to those after a word
+    keys: np.ndarray  # counted bigrams, as first * (size + 1) + second, sorted
+    both: np.ndarray  # of those bigrams
     link: tuple[float, float, float] = (4.0, 1.0, -3.0)
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood ratio of each word after the one before."""
         get, n = self.index.get, len(self.index)
         ids = np.fromiter((get(w, n) for w in words), np.int64, len(words))
-        out = self.uni[ids]
-        if len(ids) > 1 and len(self.keys):
-            key = ids[:-1] * (n + 1) + ids[1:]
+        before = np.concatenate([[n], ids[:-1]]) if len(ids) else ids
+        out = self.uni[ids] + self.back[before]
+        if len(self.keys) and len(ids):
+            key = before * (n + 1) + ids
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[1:] = np.where(self.keys[at] == key, self.both[at], out[1:])
-        # a pair of words is evidence once a text, however often a text repeats it
-        pair = np.concatenate([[n], ids[:-1]]) * (n + 1) + ids if len(ids) else ids
-        again = np.ones(len(ids), bool)
-        again[np.unique(pair, return_index=True)[1]] = False
-        out[again] = 0.0
+            out = np.where(self.keys[at] == key, self.both[at], out)
         return out
 
     def features(self, w: list[bytes]) -> tuple[float, float]:
-        """Log-likelihood ratio per word: of the whole text, and of its most telling passage."""
+        """Log-likelihood ratio per word: of the whole text, and of its most toxic passage."""
         if not w:
             return 0.0, 0.0
         r = self.ratios(w)
@@ -84,81 +88,79 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x * a + y * b + z, -30, 30))))
 
 
-def _class_counts(docs: list[list[bytes]]) -> tuple[Counter, Counter]:
-    """Bigrams by the documents they are in, and continuation counts (distinct words before a word).
-
-    A copy of one other document adds no evidence.
-    """
-    pairs: Counter = Counter()
-    for own in _originals([set(zip((b"", *w[:-1]), w, strict=True)) for w in docs]):
-        pairs.update(own)
-    return pairs, Counter(second for _, second in pairs)
+def estimate(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), of how many counts are one and two; a half where there are none of either."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return one / (one + 2 * two) if one and two else 0.5
 
 
-def _originals(docs: list[set]) -> list[set]:
-    """Those that are no copy of one before: of no single one that stays they share over half of the larger's bigrams."""
-    spread = Counter(p for own in docs for p in own)
-    holders: dict[tuple[bytes, bytes], list[int]] = {}
-    kept: list[set] = []
+def _once(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Documents as sorted distinct bigrams, each group of copies once: those that share, with no single one that stays
+    before them, over half of the larger's bigrams. A group of copies is evidence of one document."""
+    if not docs:
+        return []
+    kinds, spread = np.unique(np.concatenate(docs), return_counts=True)
+    holders: dict[int, list[int]] = {}
+    kept: list[np.ndarray] = []
     for own in docs:
-        # over half of the bigrams are shared, so one of the rarer half is
-        rare = sorted((p for p in own if spread[p] > 1), key=lambda p: (spread[p], p))
-        rare = rare[: max(0, (len(own) + 1) // 2 - (len(own) - len(rare)))]
+        n = spread[np.searchsorted(kinds, own)]
+        # over half of the bigrams are shared, so one of the rarer half of them is; those of one document are not
+        rare = own[np.lexsort((own, n))][: (len(own) + 1) // 2]
+        rare = rare[spread[np.searchsorted(kinds, rare)] > 1].tolist()
         near = {k for p in rare for k in holders.get(p, ())}
-        if not any(2 * len(own & kept[k]) > max(len(own), len(kept[k])) for k in near):
-            for p in own:
-                if spread[p] > 1:
-                    holders.setdefault(p, []).append(len(kept))
+        if not any(2 * len(np.intersect1d(own, kept[k], assume_unique=True)) > max(len(own), len(kept[k])) for k in near):
+            for p in own[n > 1].tolist():
+                holders.setdefault(p, []).append(len(kept))
             kept.append(own)
     return kept
 
 
-def count(toxic: list[list[bytes]], ordinary: list[list[bytes]], discount: float) -> Model:
-    """The two models as log ratios. discount: taken from every count and given to the level below."""
-    (tp, tc), (op, oc) = _class_counts(toxic), _class_counts(ordinary)
-    total = Counter(tc)
-    total.update(oc)
-    known = sorted(w for w, n in total.items() if n >= LEAST_COUNT)
-    index = {w: i for i, w in enumerate(known)}
-    n = len(known)
-    shared_all = sum(total.values()) + n + 1
-    shared = np.array([*((total[w] + 1) / shared_all for w in known), 1 / shared_all])
-    word_p, told = np.empty((n + 1, 2)), np.zeros(n + 1, bool)
-    for c, cont in enumerate((tc, oc)):
-        v = np.array([*(cont.get(w, 0) for w in known), 0], float)
-        rest = sum(x for w, x in cont.items() if w not in index)
-        mass = v.sum() + rest
-        if not mass:
-            word_p[:, c] = shared
-            continue
-        kept = np.maximum(v - discount, 0)
-        told |= kept > 0
-        word_p[:, c] = kept / mass + (1 - kept.sum() / mass) * shared
-    by: dict[int, list[float]] = {}
-    firsts = np.zeros((n + 1, 2))
-    for c, pairs in enumerate((tp, op)):
-        for (a, b), k in pairs.items():
-            i, j = index.get(a, n), index.get(b, n)
-            firsts[i, c] += k
-            if i < n and j < n and k >= LEAST_COUNT:
-                by.setdefault(i * (n + 1) + j, [0.0, 0.0])[c] = k
-    keys = np.array(sorted(by), np.int64)
-    v = np.array([by[k] for k in keys.tolist()], float).reshape(-1, 2)
-    kept = np.maximum(v - discount, 0)
-    some = (kept > 0).any(axis=1)
-    keys, kept = keys[some], kept[some]
-    held = np.zeros((n + 1, 2))
-    if len(keys):
-        np.add.at(held, keys // (n + 1), kept)
-    back = np.where(firsts > 0, 1 - held / np.maximum(firsts, 1), 1.0)
-    both = np.zeros(len(keys))
-    if len(keys):
-        i, j = keys // (n + 1), keys % (n + 1)
-        p = np.where(firsts[i] > 0, kept / np.maximum(firsts[i], 1) + back[i] * word_p[j], word_p[j])
-        both = np.log(p[:, 0] / p[:, 1])
-    uni = np.log(word_p[:, 0] / word_p[:, 1])
-    uni[~told] = 0.0  # both classes have it from the shared counts only
-    return Model(index, uni, keys, both)
+@dataclass
+class Tally:
+    """Bigrams of the toxic and of the ordinary documents, and in how many documents each is. A group of copies counts as
+    one document."""
+
+    index: dict[bytes, int]
+    pairs: list[np.ndarray]
+    times: list[np.ndarray]
+
+    @classmethod
+    def of(cls, toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Tally:
+        known = sorted({w for docs in (toxic, ordinary) for d in docs for w in d})
+        index = dict(zip(known, range(len(known)), strict=True))
+        n, pairs, times = len(known), [], []
+        for docs in (toxic, ordinary):
+            rows = [np.array([n, *(index[w] for w in d)], np.int64) for d in docs if d]
+            rows = _once([np.unique(r[:-1] * (n + 1) + r[1:]) for r in rows])
+            k, t = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_counts=True)
+            pairs.append(k)
+            times.append(t.astype(float))
+        return cls(index, pairs, times)
+
+    def model(self, discount: float | None = None) -> Model:
+        """The two models. discount: taken from each count, as far as it goes, and given to the level below."""
+        n = len(self.index)
+        keys = np.union1d(*self.pairs)
+        first, second = keys // (n + 1), keys % (n + 1)
+        # continuation counts, each class's own and shared
+        own = np.stack([np.bincount(k % (n + 1), minlength=n + 1) for k in self.pairs], axis=1).astype(float)
+        shared = (own.sum(axis=1) + 1) / (own.sum() + n + 1)
+        low, gamma, p = np.empty((n + 1, 2)), np.zeros((n + 1, 2)), np.empty((len(keys), 2))
+        for c, (k, t) in enumerate(zip(self.pairs, self.times, strict=True)):
+            total = own[:, c].sum()
+            kept = np.maximum(own[:, c] - (estimate(own[:, c]) if discount is None else discount), 0)
+            low[:, c] = kept / total + (1 - kept.sum() / total) * shared if total else shared
+            after = np.bincount(k // (n + 1), t, minlength=n + 1)
+            kept = np.maximum(t - (estimate(t) if discount is None else discount), 0)
+            taken = np.bincount(k // (n + 1), t - kept, minlength=n + 1)
+            left = np.where(after > 0, taken / np.maximum(after, 1), 1.0)
+            gamma[:, c] = np.log(left)
+            seen = np.zeros(len(keys))
+            seen[np.searchsorted(keys, k)] = kept
+            p[:, c] = seen / np.maximum(after[first], 1) + left[first] * low[second, c]
+        ratio = lambda x: x[:, 0] - x[:, 1]
+        low = np.log(low)
+        return Model(self.index, ratio(low), ratio(gamma), keys, ratio(np.log(p)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -177,30 +179,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarr
     return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def learn(rows: list[tuple[int, str | None, int]]) -> Model:
-    """rows: doc_id, text, toxic. Counts on one half choose the discount and the link on the other; then all count."""
+def learn(rows: list[tuple[int, str | None, int]], discounts: tuple[float | None, ...] = DISCOUNTS) -> Model:
+    """rows: doc_id, text, toxic. Counts on one half choose the discount and the link on the other; then all rows count."""
     docs = [(zlib.crc32(b"half" + str(i).encode()) % 2, tokens(t), y) for i, t, y in rows]
     if len({y for *_, y in docs}) < 2:
         base = 30.0 if docs and docs[0][2] else -30.0
-        return Model({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, base))
+        none = np.zeros(1)
+        return Model({}, none, none, np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, base))
     pick = lambda half, y: [w for h, w, c in docs if h != half and c == y]
+    halves = [(h, Tally.of(pick(h, 1), pick(h, 0))) for h in (0, 1) if pick(h, 1) and pick(h, 0)]
     best = None
-    for d in DISCOUNTS:
+    for d in discounts:
         x, y = [], []
-        for half in (0, 1):
-            if not pick(half, 1) or not pick(half, 0):
-                continue
-            m = count(pick(half, 1), pick(half, 0), d)
+        for half, tally in halves:
+            m = tally.model(d)
             for h, w, c in docs:
                 if h == half:
                     x.append(m.features(w))
                     y.append(c)
-        if len(set(y)) < 2:
-            continue
-        w, loss = _logistic(np.array(x), np.array(y, float))
-        if best is None or loss < best[0]:
-            best = loss, d, w
-    model = count(pick(2, 1), pick(2, 0), best[1] if best else DISCOUNTS[0])
+        if len(set(y)) == 2:
+            w, loss = _logistic(np.array(x), np.array(y, float))
+            if best is None or loss < best[0]:
+                best = loss, d, w
+    model = Tally.of(pick(2, 1), pick(2, 0)).model(best[1] if best else discounts[0])
     if best:
         model.link = tuple(map(float, best[2]))
     return model
@@ -211,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT_FOLD)
     few = fewest(known.where("toxic = 1"), "toxic", max_toxic).union(fewest(known.where("toxic = 0"), "toxic", max_ordinary))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    # of rows that share an id the text that sorts first, so that no more rows than ids are collected
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     return learn(sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows), key=lambda r: (r[0], r[1] or "")))
 
 
@@ -231,4 +234,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, one row per row of docs.
+
+    Null, empty and blank texts have no evidence; their score is the link's constant. Very long texts are scored whole.
+    Repeated rows stay, a null doc_id counts as held in no fold but that of "None". Without labels, or with one class
+    only, all scores are equal. An empty table gives no rows. Other columns, of whatever name, are ignored.
+    """
     return scored(docs, fit(docs, labels))
