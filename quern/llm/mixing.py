@@ -26,7 +26,8 @@ PART_BITS = 10
 
 
 def _prepared(rows: DataFrame, source: Column, doc_id: Column, text: Column) -> DataFrame:
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id), 1)
+    # the text parts rows that share an id, or have none
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 1)
     # null and text sources must not meet; "=" keeps the order of code points
     rows = rows.withColumn("_source", F.when(source.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), source)))
     return rows.withColumn("_null", source.isNull()).withColumn("_id", doc_id).withColumn("_size", n_words(text)).withColumn("_u", u).withColumn("_part", F.shiftright(F.col("_u"), 63 - PART_BITS).cast("int"))
@@ -82,7 +83,9 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def query(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, position of the first copy (null if not taken), sorted by position.
 
-    Null and blank texts have size 0 and are never taken. Repeated rows are documents of their own.
+    Null and blank texts have size 0 and are never taken. Very long texts count whole. Repeated rows are documents of
+    their own. Rows without a source are a source of their own. An empty table gives no rows. Other columns, of whatever
+    name, are ignored. The sources' targets are found in one task, which holds a row for each source.
     """
     rows = _prepared(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")), F.col("source"), F.col("doc_id"), F.col("text"))
     rows = checkpoint(rows.select("_id", "_source", "_null", "_size", "_u", "_part"))

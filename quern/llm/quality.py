@@ -177,8 +177,10 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[R
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = fewest(known, "quality", most)  # rows that fail the base tests among them are not replaced
     h = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    found = stats.where("NOT base_failed").join(F.broadcast(known), "doc_id").select(h.alias("h"), "quality", *(f"f_{f}" for f in FEATURES)).collect()
-    rows = sorted(found, key=tuple)[:most]
+    # of rows that share an id the one whose statistics sort first, so that no more than `most` are collected
+    row = F.struct(h.alias("h"), "quality", *(f"f_{f}" for f in FEATURES))
+    found = stats.where("NOT base_failed").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(row).alias("v")).select("v.*").collect()
+    rows = sorted(found, key=tuple)
     if not rows:
         return []
     x = {f: np.array([r[f"f_{f}"] for r in rows]) for f in FEATURES}
@@ -202,7 +204,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs. A null text has no words; repeated rows stay; other columns are ignored."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: one row per row of docs.
+
+    Null, empty and blank texts have no words and fail. Very long texts are measured whole. Repeated rows stay. Without
+    labels only the base tests reject. An empty table gives no rows. Other columns, of whatever name, are ignored.
+    """
     return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from quern.llm import dac, fingerprint, lm, mixing, packing, quality, sharding, simhash, substrings, toxicity
+from quern.llm import dac, fingerprint, lm, mixing, packing, pipeline, quality, sharding, simhash, substrings, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +32,7 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": _docs(lm.query),
         "op9_toxicity": _labelled(toxicity.query),
         "op10_best_fit_packing": _docs(packing.query),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import checkpoint
+
 SHARDS = 24
 #: Parts that each shard is ranked in.
 SLOT_PARTS = 256
@@ -48,16 +50,17 @@ def key_of(doc_id: Column) -> Column:
 def assign(docs: DataFrame, shards: int = SHARDS, parts: int = SLOT_PARTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per row of docs.
 
-    size: UTF-8 bytes plus 8; a null text has no bytes. Rows with equal doc_id, or none, share a shard and have slots of
-    their own. slot runs from 0 without gaps in each shard; grown_shard is the shard with one more.
+    size: UTF-8 bytes plus 8; a null text has no bytes, and very long ones count whole. Rows with equal doc_id, or none,
+    share a shard, which is ranked in parts, and have slots of their own; so have repeated rows. slot runs from 0 without
+    gaps in each shard; grown_shard is the shard with one more. An empty table gives no rows. Other columns, of whatever
+    name, are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(F.col("doc_id").cast("long")).alias("key"))
     rows = rows.withColumn("shard", jump_hash(F.col("key"), shards)).withColumn("grown_shard", jump_hash(F.col("key"), shards + 1))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).drop("key")
-    key = F.xxhash64(F.col("doc_id").cast("long"))
-    ids = docs.select(jump_hash(key, shards).alias("shard"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    sizes = ids.groupBy("shard", "part").count()
+    # rows are dealt to parts by their place, so that a shard's parts are equal whatever its keys
+    rows = checkpoint(rows.drop("key").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")))
+    sizes = rows.groupBy("shard", "part").count()
     before = sizes.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     placed = rows.withColumn("rank", rank).join(before, ["shard", "part"])
@@ -71,4 +74,5 @@ def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The rows of assign(), for the number of shards that the contract fixes."""
     return assign(docs)

@@ -7,9 +7,8 @@ import numpy as np
 from quern.llm import lm, toxicity
 
 
-def test_lm_fit_reads_all_words_of_all_documents(spark, monkeypatch):
-    """Only word order differs between the corpora: after word 1500, and outside of the start's documents."""
-    monkeypatch.setattr(lm, "FIT_DOCS", 2)
+def test_lm_knows_what_follows_in_all_words_of_all_documents(spark):
+    """Only word order differs between the corpora, after word 1500 of each document."""
     ids = [d for d in range(200) if not lm.held_out(d)][:60]
     held = next(d for d in range(200) if lm.held_out(d))
     rng = np.random.default_rng(0)
@@ -22,14 +21,27 @@ def test_lm_fit_reads_all_words_of_all_documents(spark, monkeypatch):
     assert score[0] > score[1] + 1
 
 
+def test_lm_tells_documents_that_occur_twice(spark):
+    rng = np.random.default_rng(1)
+    ids = [d for d in range(600) if not lm.held_out(d)][:200]
+    texts = {d: " ".join(f"v{k}" for k in rng.zipf(1.3, 200) % 900) for d in ids}
+    texts.update({ids[k + 100]: texts[ids[k]] for k in range(20)})
+    rows = list(texts.items())
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = {*ids[:20], *ids[100:120]}
+    assert min(out[d] for d in twice) > max(out[d] for d in ids if d not in twice)
+
+
 def test_toxicity_learns_from_whole_texts():
     rows = [(i, " ".join(f"w{(i // 2 * 31 + k * k) % 997}" for k in range(2100)) + (" vile rotten swine" * 3 if i % 2 else ""), i % 2) for i in range(60)]
     model = toxicity.learn(rows)
-    assert model.score("vile rotten swine") > 0.75 and model.score("w1 w2 w3") < 0.5
+    assert model.score("vile rotten swine") > model.score("w1 w2 w3")
 
 
-def test_toxicity_leaves_out_copies_of_one_document_only():
+def test_toxicity_counts_copies_of_one_document_once():
     a, b = ([f"{c}{k}".encode() for k in range(40)] for c in "ab")
     mixed = [*a[:20], *b[:20]]
-    pairs, _ = toxicity._class_counts([a, b, mixed, a, [*a, b"z"]])
-    assert pairs[a[3], a[4]] == 2 and pairs[b[3], b[4]] == 2
+    tally = toxicity.Tally.of([a, b, mixed, a, [*a, b"z"]], [b])
+    n, i = len(tally.index) + 1, tally.index
+    times = dict(zip(tally.pairs[0].tolist(), tally.times[0].tolist(), strict=True))
+    assert times[i[a[3]] * n + i[a[4]]] == 2 and times[i[b[3]] * n + i[b[4]]] == 2
