@@ -1,52 +1,5 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A training corpus from raw documents, in the stages of quern.llm.pipeline."""
 
-from __future__ import annotations
+from quern.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quern.llm import mixing, packing, quality, simhash, substrings
-from quern.llm.common import materialise, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base tests or the learned rules reject go."""
-    return quality.keep(docs, table(spark, sf_dir, "labels"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that are found elsewhere go from the texts."""
-    return substrings.cleaned(docs)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their targets: a row for each copy that is taken, in training order."""
-    return mixing.training_order(docs)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.query(docs)
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_dedup),
-    ("substring dedup", substring_dedup),
-    ("mixing sources to target weights", source_mixing),
-    ("best-fit packing", best_fit_packing),
-]
-
-#: The rules are learned and ids come from a tokenizer: SQL can't express it. Tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
