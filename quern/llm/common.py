@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +88,12 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 class Encoder:
-    """Subword ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Subword ids of whole texts, as unsigned 32-bit integers, by a byte-level BPE of the tokenizers library.
 
-    The pre-tokenizer always starts a new piece at a space followed by a non-space, and a lone line feed is a piece of
-    its own. Texts are cut there and the cuts looked up in a bounded cache; only unseen cuts reach the tokenizer, many
-    at a time, parted by line feeds. Texts with longer runs of white space are encoded whole. The result equals
-    encoding each whole text.
+    Texts are cut before each space. The pre-tokenizer starts a piece there, too, unless the space stands inside a run of
+    white space; texts with such a run, or with two spaces in a row, are encoded whole. Arrow cuts the texts and numbers
+    the different cuts of a batch, which are looked up in a bounded cache; only unseen ones reach the tokenizer, many at a
+    time. The result equals encoding each whole text.
     """
 
     LIMIT = 800_000
@@ -109,22 +108,21 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)  # it would be asked for unseen words only
         self.cache: dict[str, bytes] = {}
         lf = self._ids(["\n"])[0]
-        self.marks: dict[str, bytes] = {}
         self.lf = int(np.frombuffer(lf, "<u4")[0]) if len(lf) == 4 else None
         self.cache["\n"] = lf
-        self.model = self._bare()
+        self.spaced = np.array([str(self.tokenizer.id_to_token(i) or "").startswith(_BYTES[32]) for i in range(self.tokenizer.get_vocab_size())])
+        self.pieces = self._bare()
 
     def _bare(self):
-        """The byte-pair model alone, on text whose bytes are written as letters already; None if it isn't that kind."""
-        from tokenizers import Tokenizer, pre_tokenizers
+        """The byte-pair model alone, for pieces whose bytes are written as letters already; None if it isn't that kind."""
+        from tokenizers import Tokenizer
 
         plain = self.tokenizer.pre_tokenizer.__class__.__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         if not plain or self.lf is None:
             return None
         bare = Tokenizer(self.tokenizer.model)
-        bare.pre_tokenizer = pre_tokenizers.Split(_BYTES[10], "isolated")
-        probe = "".join([" ", "A\u00e9"])
-        ids = bare.encode(probe.encode().decode("latin-1").translate(_BYTES)).ids
+        probe = " A\u00e9"
+        ids = bare.encode([probe.encode().decode("latin-1").translate(_BYTES)], is_pretokenized=True).ids
         return bare if np.array(ids, "<u4").tobytes() == self._ids([probe])[0] else None
 
     @classmethod
@@ -142,104 +140,130 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, cuts: list[str]) -> dict[str, bytes]:
-        """Cuts of Latin letters, with a space before or not, are one piece each: the byte-pair model gets them directly."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, each encoded by itself with a space before it, and how many each has. Nothing is kept.
+
+        A word of Latin letters is one piece, and so are the marks after it; pieces go to the byte-pair model as they are.
+        The first id of a word, and no other, holds its space.
+        """
+        plain, at, rest = [], [], []
+        for k, w in enumerate(words):
+            stem = w.rstrip(_MARKS)
+            if self.pieces and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                plain.append(w if len(stem) == len(w) else f"{stem}\n{w[len(stem) :]}")
+                at.append(k)
+            else:
+                rest.append(k)
+        ids, size = [np.zeros(0, "<u4")], np.zeros(len(words), np.int64)
+        if plain:
+            pieces = (" " + "\n ".join(plain)).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
+            parts = [pieces[i : i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
+            got = self.pieces.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.concatenate([np.array(x.ids, "<u4") for x in got]))
+            size[at] = np.diff(np.append(np.flatnonzero(self.spaced[ids[-1]]), len(ids[-1])))
+        if rest:
+            raw = self._ids([" " + words[k] for k in rest])
+            size[rest] = [len(x) // 4 for x in raw]
+            ids.append(np.frombuffer(b"".join(raw), "<u4"))
+        place = np.empty(len(words), np.int64)
+        place[at + rest] = np.arange(len(words))
+        return gathered(np.concatenate(ids), size[at + rest], place)[0], size
+
+    def _several(self, cuts: list[str]) -> dict[str, bytes]:
+        """Ids of cuts without line feeds and white space at their ends: joined by line feeds, each a piece of its own."""
         out: dict[str, bytes] = {}
         for i in range(0, len(cuts), self.JOIN):
             part = cuts[i : i + self.JOIN]
-            text = "\n".join(part).encode().decode("latin-1").translate(_BYTES)
-            self._part(out, part, self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.lf)
+            if len(at) != len(part) - 1:
+                out.update(zip(part, self._ids(part), strict=True))
+                continue
+            raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            out.update(zip(part, [raw[x:y] for x, y in zip([0, *(4 * at + 4).tolist()], ends, strict=True)], strict=True))
         return out
 
-    def _part(self, out: dict[str, bytes], part: list[str], ids: list[int]) -> None:
-        ids = np.array(ids, "<u4")
-        at = np.flatnonzero(ids == self.lf)
-        if len(at) != len(part) - 1:
-            out.update(zip(part, self._ids(part), strict=True))
-            return
-        raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-        starts = [0, *(4 * at + 4).tolist()]
-        out.update(zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
-
     def cuts(self, new: list[str]) -> dict[str, bytes]:
         """Ids of single cuts."""
-        out: dict[str, bytes] = {}
-        plain, rest, marked = [], [], []
-        stems: dict[str, None] = {}
-        known, marks = self.cache, self.marks
+        lines: list[tuple[str, str, str]] = []
+        spaced, plain, alone = [], [], []
         for c in new:
-            if self.model and (c.isascii() or max(c) < "\u0250") and c[c[0] == " " :].isalpha():
-                plain.append(c)
-                continue
-            # punctuation after a letter or digit is a piece of its own, so a known stem needs no encoding
-            stem = c.rstrip(_MARKS)
-            if len(stem) < len(c) and stem[-1:].isalnum() and "<|" not in c:  # that may begin a special token
-                marked.append((c, stem, c[len(stem) :]))
-                if stem not in known:
-                    stems[stem] = None
+            a, feed, b = c.partition("\n")
+            if feed:  # one line feed between two words parts them
+                if self.lf is not None and a and b and "\n" not in b and not (a[-1].isspace() or b[0].isspace() or b[-1].isspace() or a[a[0] == " " :][:1].isspace()):
+                    lines.append((c, a, b))
+                else:
+                    alone.append(c)
+            elif self.lf is None or not c or c[-1].isspace() or c[c[0] == " "].isspace():
+                alone.append(c)
             else:
-                rest.append(c)
-        if stems:
-            whole = {*plain, *rest}
-            for c in stems:
-                if c not in whole:
-                    (plain if self.model and (c.isascii() or max(c) < "\u0250") and c[c[0] == " " :].isalpha() else rest).append(c)
-        if plain:
-            out = self._letters(plain)
-        for i in range(0, len(rest), self.JOIN):
-            part = rest[i : i + self.JOIN]
-            self._part(out, part, self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids)
-        if marked:
-            tails = list({t for _, _, t in marked if t not in marks})
-            tails = dict(zip(tails, self._ids(tails), strict=True))
-            if len(marks) < 10_000:
-                marks.update(tails)
-            get, other = out.get, known.get
-            out.update([(c, (get(stem) or other(stem)) + (marks.get(tail) or tails[tail])) for c, stem, tail in marked])
+                (spaced if c[0] == " " else plain).append(c)
+        known = self.cache
+        for c in dict.fromkeys(x for _, a, b in lines for x in (a, b)):
+            if c not in known:
+                (spaced if c[0] == " " else plain).append(c)
+        out = self._several(plain)
+        if spaced:
+            ids, size = self.words([c[1:] for c in spaced])
+            raw, ends = ids.tobytes(), np.cumsum(4 * size).tolist()
+            out.update(zip(spaced, [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        if alone:
+            out.update(zip(alone, self._ids(alone), strict=True))
+        if lines:
+            lf, find = known["\n"], lambda c: out[c] if c in out else known[c]
+            out.update([(c, find(a) + lf + find(b)) for c, a, b in lines])
         return out
 
-    def flat(self, texts: Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, texts: pa.Array | Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the id `end` after it if there is one, and where each text begins
         in it (one more entry, for the last one's end)."""
-        cuts: list[list[str]] = []
-        whole: dict[int, str] = {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            if "\x00" in text or self.lf is None:
-                whole[i] = text
-                cuts.append([])
-            else:
-                cuts.append(text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if text else [])
-        row = list(chain.from_iterable(cuts))
-        distinct = list(dict.fromkeys(row))
-        raw = list(map(self.cache.get, distinct))
-        new = [c for c, x in zip(distinct, raw, strict=True) if x is None]
-        odd = {c for c in new if not c or c[-1].isspace() or c[c[0] == " "].isspace()}
-        if odd:
-            whole.update((i, "".join(cut)) for i, cut in enumerate(cuts) if not odd.isdisjoint(cut))
-            new = [c for c in new if c not in odd]
-        made = self.cuts(new) if new else {}
-        if len(self.cache) < self.LIMIT:
-            self.cache.update((c, x) for c, x in made.items() if len(c) <= 32)
-        get = made.get
-        raw = [x if x is not None else get(c, b"") for c, x in zip(distinct, raw, strict=True)]
-        if whole:  # such a text is one piece, under a name that no cut has
-            for i, x in zip(whole, self._ids(list(whole.values())), strict=True):
-                cuts[i] = [f"\x00{i}"]
-                distinct.append(cuts[i][0])
-                raw.append(x)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(list(texts), pa.string())
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        n = pc.list_value_length(split).to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        different, code = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
+        k, first = len(different), np.cumsum(n) - n
+        starting = np.zeros(len(code), bool)
+        starting[first] = True
+        # a space inside a run of white space, or at a text's end, begins no piece
+        edge = lambda x: pc.utf8_is_space(x).to_numpy(zero_copy_only=False)
+        lead, trail = edge(pc.utf8_slice_codeunits(different, 0, 1)), edge(pc.utf8_slice_codeunits(different, -1))
+        none = pc.equal(pc.binary_length(different), 0).to_numpy(zero_copy_only=False)
+        odd = none[code] & ~starting
+        odd[1:] |= trail[code[:-1]] & lead[code[1:]] & ~starting[1:]
+        whole = np.flatnonzero(np.logical_or.reduceat(odd, first)) if len(n) else first
+        code[starting] += k  # the first cut of a text has no space before it
+        used = np.flatnonzero(np.bincount(code, minlength=2 * k))
+        names = different.to_pylist()
+        cuts = [" " + names[c] if c < k else names[c - k] for c in used.tolist()]
+        raw = list(map(self.cache.get, cuts))
+        new = [c for c, x in zip(cuts, raw, strict=True) if x is None]
+        if new:
+            made = self.cuts(new)
+            if len(self.cache) < self.LIMIT:
+                self.cache.update((c, x) for c, x in made.items() if len(c) <= 32)
+            get = made.get
+            raw = [get(c, b"") if x is None else x for c, x in zip(cuts, raw, strict=True)]
+        number = np.zeros(2 * k + 1 + len(whole), np.int64)
+        number[used] = np.arange(len(used))
         if end is not None:
-            distinct.append("\x00")
+            number[2 * k] = len(raw)
             raw.append(np.array([end], "<u4").tobytes())
-            for cut in cuts:
-                cut.append("\x00")
-        if whole or end is not None:
-            row = list(chain.from_iterable(cuts))
-        index = dict(zip(distinct, range(len(distinct)), strict=True))
-        at = np.fromiter(map(index.__getitem__, row), np.int64, len(row))
+        number[2 * k + 1 :] = len(raw) + np.arange(len(whole))
+        raw += self._ids([texts[i].as_py() for i in whole.tolist()]) if len(whole) else []
+        if len(whole):  # such a text is one cut
+            keep = np.repeat(~np.isin(np.arange(len(n)), whole), n)
+            keep[first[whole]] = True
+            code[first[whole]] = 2 * k + 1 + np.arange(len(whole))
+            code, n = code[keep], n.copy()
+            n[whole] = 1
+        if end is not None:
+            code = np.insert(code, np.cumsum(n), 2 * k)
+            n = n + 1
         size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
-        out, sums = gathered(np.frombuffer(b"".join(raw), "<u4"), size, at)
-        return out, sums[np.concatenate([[0], np.cumsum([len(cut) for cut in cuts])]).astype(np.int64)]
+        out, sums = gathered(np.frombuffer(b"".join(raw), "<u4"), size, number[code])
+        return out, sums[np.concatenate([[0], np.cumsum(n)])]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         ids, at = self.flat(texts)

@@ -156,7 +156,7 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
         for big in it:
             for b in batches(big):
                 doc_ids = b.column("doc_id").fill_null(-(2**63)).to_numpy()
-                ids, at = encoder.flat(b.column("text").to_pylist(), end_id)
+                ids, at = encoder.flat(b.column("text"), end_id)
                 x = 0
                 while x < len(doc_ids):
                     # up to the document that fills the segment

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         names = ["doc_id", *carried, "piece", "start", "length", "ids_crc32"]
         for big in it:
             for b in batches(big):
-                ids, at = encoder.flat(b.column("text").to_pylist(), end_id)
+                ids, at = encoder.flat(b.column("text"), end_id)
                 size = np.diff(at)
                 n = -(-size // capacity)
                 owner = np.repeat(np.arange(len(size)), n)
