@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -449,7 +450,7 @@ def brute_lm(rows, model, pieces, discount):
 
 
 def lm_words(text):
-    return [*(w.encode() for w in split((text or "").translate({c: c + 32 for c in range(65, 91)}))), lm.END]
+    return [*split((text or "").translate({c: c + 32 for c in range(65, 91)})), lm.END]
 
 
 def test_lm_equals_one_id_at_a_time(spark, docs, edge, monkeypatch):
@@ -487,7 +488,7 @@ def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     pieces = lm.Pieces("byte_bpe_50k.json")
     texts = [" ".join(["the dog" if k % 2 else "the cat", "ranzibule of"] * int(rng.integers(1, 30))) for k in range(40)]
-    coded = lm.Coded.of(texts, np.zeros(40, bool), pieces)
+    coded = lm.Coded.of(pa.array(texts), np.zeros(40, bool), pieces)
     seq, n = coded.sequence()
     windows = coded.windows(5)
     assert len(windows) == sum(-(-n // lm.SPAN))
@@ -496,7 +497,7 @@ def test_lm_probabilities_sum_to_one():
     model = lm.started(windows, lm._company(windows[:, 1:], counts), counts, pieces.begins(), steps=40)
     # over all ids, known or not, after a few beginnings: those that start words, and those that go on with an ended word
     for words in ([], ["the"], ["the", "unheardofword", "zzzq"]):
-        before = pieces.of([w.encode() for w in words])[0] if words else np.zeros(0, np.int32)
+        before = pieces.of(words)[0] if words else np.zeros(0, np.int32)
         ids = np.flatnonzero(model.first) if not words else np.arange(pieces.size)
         part = np.concatenate([np.concatenate([before, [i]]) for i in ids[::97]])
         out, ended = model.factors(part.astype(np.int32), np.full(len(ids[::97]), len(before) + 1))
@@ -779,8 +780,6 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
 
 def test_batches_are_bounded_in_bytes():
-    import pyarrow as pa
-
     from quern.llm.common import batches
 
     text = pa.array(["x" * n for n in (10, 10, 3000, 10, 900, 900, 10)] + [None])
