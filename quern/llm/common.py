@@ -327,21 +327,27 @@ def batches(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20) -> Ite
 MOST_HOT = 65_536
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 4096) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 4096) -> DataFrame | None:
     """keys and salts int: the keys with more than `least` rows, and more than a MOST_HOT-th of all, and in how many parts
-    to deal them. counts: keys, n. At most MOST_HOT rows, so that the result may be broadcast."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    most = max(least, -(-int(total) // MOST_HOT))
+    to deal them; None if there are none. counts: keys, n. At most MOST_HOT rows, so that the result may be broadcast."""
+    total, top = counts.agg(F.sum(n), F.max(n)).first()
+    most = max(least, -(-int(total or 0) // MOST_HOT))
+    if (top or 0) <= most:
+        return None
     return counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / most).cast("int").alias("salts"))
 
 
-def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
+def salted(rows: DataFrame, hot: DataFrame | None, keys: list[str], by: Column) -> DataFrame:
     """rows with salt int: the part that a row of a hot key goes to, by a hash of `by`; 0 for the others."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
     out = rows.join(F.broadcast(hot), keys, "left")
     return out.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
 
 
-def spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+def spread(rows: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
     """rows (few for a key) with salt int: one copy for each part of a hot key."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
     out = rows.join(F.broadcast(hot), keys, "left")
     return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")

@@ -22,8 +22,6 @@ def _tidy(edges: DataFrame) -> DataFrame:
 def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges (a, b) with m of least (a, m, n), where n counts a's edges."""
     hot = hot_keys(least, ["a"])
-    if not hot.limit(1).count():
-        return edges.join(least.drop("n"), "a")
     return salted(edges, hot, ["a"], F.col("b")).join(spread(least.drop("n"), hot, ["a"]), ["a", "salt"])
 
 
@@ -33,10 +31,10 @@ def connected(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = checkpoint(_tidy(_to_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         # each edge points down now: a's smaller neighbours and a itself move to the smallest of them
-        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _to_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = checkpoint(_tidy(small))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -137,7 +137,7 @@ def query(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     signed = checkpoint(signatures(full, keys, samples))
     other = signed.groupBy("key").agg(F.min("sig").alias("next_sig")).withColumnRenamed("key", "next")
     # rows that share an id share the document that follows them
-    hot_next = hot.join(by_key, "key").select("next", "salts")
+    hot_next = hot if hot is None else hot.join(by_key, "key").select("next", "salts")
     out = signed.join(spread(other, hot_next, ["next"]), ["next", "salt"])
     return out.select(
         F.when(F.col("key") != SMALLEST, F.col("key")).alias("doc_id"),

@@ -241,8 +241,8 @@ STAGE_WIDTH = 5
 SIMILARITY = 0.8
 #: Least values of hashes of the shingles, in bands of ROWS: a pair at 0.8 agrees on one of 20 bands but for 1 in 30,000.
 BANDS, ROWS = 20, 4
-#: Rounds in which a band's documents meet their smallest one, at most.
-MEETINGS = 4
+#: Rounds in which a band's documents meet their smallest one.
+MEETINGS = 2
 _U = np.uint64
 
 
@@ -303,7 +303,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
 
     # rows that share an id are one document: the one whose set sorts first
     found = checkpoint(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set")))
-    hot = hot_keys(checkpoint(pairs.groupBy("b").agg(F.count("*").alias("n"))), ["b"])
+    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), ["b"])
     met = salted(pairs, hot, ["b"], F.col("a")).join(spread(found.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), hot, ["b"]), ["b", "salt"])
     met = met.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
     return checkpoint(met.mapInArrow(judge, "a long, b long, alike boolean"))
@@ -320,26 +320,21 @@ def groups(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILA
     reps = checkpoint(sketches.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     hot = hot_keys(reps, ["same"])
     equal = salted(sketches.select("same", "doc_id"), hot, ["same"], F.col("doc_id")).join(spread(reps.select("same", "node"), hot, ["same"]), ["same", "salt"])
-    edges = [checkpoint(equal.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())]
-    stars = links(reps.groupBy("fp").agg(F.min("node").alias("node"))).select("a", "b")
-    near = checkpoint(stars.where("a <> b").distinct())
-    edges.append(_alike(docs, near, width, similarity).where("alike").select("a", "b"))
-    rows = checkpoint(reps.select("node", F.posexplode("bands").alias("band", "h")))
+    edges = equal.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    pairs = links(reps.groupBy("fp").agg(F.min("node").alias("node"))).select("a", "b").where("a <> b")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "h"))
     for _ in range(MEETINGS):
         least = checkpoint(rows.groupBy("band", "h").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-        if not least.limit(1).count():
-            break
         hot = hot_keys(least, ["band", "h"])
         met = salted(rows, hot, ["band", "h"], F.col("node")).join(spread(least.drop("n"), hot, ["band", "h"]), ["band", "h", "salt"])
         met = checkpoint(met.where("node <> rep").select("band", "h", "node", "rep"))
-        judged = _alike(docs, met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), width, similarity)
-        edges.append(judged.where("alike").select("a", "b"))
+        found = met.select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        pairs = checkpoint((found if pairs is None else found.unionByName(pairs)).distinct())
+        judged = _alike(docs, pairs, width, similarity)
+        edges, pairs = edges.unionByName(judged.where("alike").select("a", "b")), None
         unlike = judged.where("NOT alike").select(F.col("a").alias("node"), F.col("b").alias("rep"))
-        rows = checkpoint(met.join(unlike, ["node", "rep"]).select("node", "band", "h"))
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    return connected(every).select(F.col("node").alias("doc_id"), "component")
+        rows = met.join(unlike, ["node", "rep"]).select("node", "band", "h")
+    return connected(edges).select(F.col("node").alias("doc_id"), "component")
 
 
 def keep_one(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
