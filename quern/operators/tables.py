@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.encode import truncated  # noqa: F401  kept here for callers
+from quern.operators.metrics import entropy, multiset_f1  # noqa: F401
+from quern.operators.ranks import ranked
+from quern.operators.similarity import nearest  # noqa: F401
+
 
 def dice(seed: str, *keys: Column) -> Column:
     """A reproducible order: md5 of seed and keys."""
@@ -56,13 +61,11 @@ def freedoms(grams: DataFrame) -> DataFrame:
 
 
 def mutual_information(grams: DataFrame) -> DataFrame:
-    """gram, cnt, mi = n_xy n / (n_x n_y) of character pairs."""
-    one = grams.where("n = 1").groupBy("gram").agg(F.count("*").alias("c"))
-    total = one.agg(F.sum("c").alias("n_all"))
-    two = grams.where("n = 2").groupBy("gram").agg(F.count("*").alias("cnt"))
-    x = one.select(F.col("gram").alias("x"), F.col("c").alias("cx"))
-    y = one.select(F.col("gram").alias("y"), F.col("c").alias("cy"))
-    two = two.withColumn("x", F.substring("gram", 1, 1)).withColumn("y", F.substring("gram", 2, 1))
+    """gram, cnt, mi = n_xy n / (n_x n_y) of character pairs, all counted over pairs."""
+    two = grams.where("n = 2").groupBy("gram").agg(F.count("*").alias("cnt")).withColumn("x", F.substring("gram", 1, 1)).withColumn("y", F.substring("gram", 2, 1))
+    total = two.agg(F.sum("cnt").alias("n_all"))
+    x, y = two.groupBy("x").agg(F.sum("cnt").alias("cx")), two.groupBy("y").agg(F.sum("cnt").alias("cy"))
+    # the total is one row, and there are as many x and y as characters
     return two.join(x, "x").join(y, "y").crossJoin(F.broadcast(total)).select("gram", "cnt", (F.col("cnt") * F.col("n_all") / (F.col("cx") * F.col("cy"))).alias("mi"))
 
 
@@ -74,6 +77,74 @@ def conditional(grams: DataFrame) -> DataFrame:
     return two.join(x, "x", "left").join(y, "y", "left").select("gram", (F.col("cnt") / F.col("cx")).alias("p_next"), (F.col("cnt") / F.col("cy")).alias("p_prev"))
 
 
+def probability_profile(grams: DataFrame, name: str, n: int) -> DataFrame:
+    """name, pos, p_p, p_m: of a character after those before it, and before those after it, up to n in all; 0 at the ends
+    and for an unknown whole, and an unknown part counts as 1. For n = 1, over the greatest of a name's."""
+    counts = grams.groupBy("gram").agg(F.count("*").cast("double").alias("c"))
+    c = F.col(name)
+    start = F.greatest(F.col("pos") - n + 1, F.lit(0))
+    stop = F.least(F.col("pos") + n, F.length(c))
+    own = grams.where("n = 1").select(name, "pos")
+    at = lambda a, b: F.substring(c, a + 1, b - a)
+    own = own.withColumn("w_p", at(start, F.col("pos") + 1)).withColumn("u_p", at(start, F.col("pos"))).withColumn("w_m", at(F.col("pos"), stop)).withColumn("u_m", at(F.col("pos") + 1, stop))
+    for g in ("w_p", "u_p", "w_m", "u_m"):
+        own = own.join(counts.select(F.col("gram").alias(g), F.col("c").alias(f"c_{g}")), g, "left")
+    ratio = lambda s: F.coalesce(F.col(f"c_w_{s}"), F.lit(0.0)) / F.coalesce(F.col(f"c_u_{s}"), F.lit(1.0))
+    p = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(ratio("p"))
+    m = F.when(F.col("pos") == F.length(c) - 1, F.lit(0.0)).otherwise(ratio("m"))
+    out = own.select(name, "pos", p.alias("p_p"), m.alias("p_m"))
+    if n == 1:
+        top = F.greatest(F.max("p_p").over(Window.partitionBy(name)), F.max("p_m").over(Window.partitionBy(name)))
+        out = out.select(name, "pos", F.try_divide("p_p", top).alias("p_p"), F.try_divide("p_m", top).alias("p_m"))
+    return out
+
+
+def gram_freedoms(grams: DataFrame, name: str) -> DataFrame:
+    """gram, n, cnt, f_next, f_prev: of each gram, and how many different grams of up to its length follow and precede it."""
+    c, end = F.col(name), F.col("pos") + F.col("n")
+    start = F.greatest(F.col("pos") - F.col("n"), F.lit(0))
+    nxt = F.nullif(F.substring(c, end + 1, F.col("n")), F.lit(""))
+    prv = F.when(F.col("pos") > 0, F.substring(c, start + 1, F.col("pos") - start))
+    each = grams.select("gram", "n", nxt.alias("nxt"), prv.alias("prv"))
+    return each.groupBy("gram", "n").agg(F.count("*").alias("cnt"), F.countDistinct("nxt").alias("f_next"), F.countDistinct("prv").alias("f_prev"))
+
+
+def freedom_model(grams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counts of grams (gram, cnt), and of the characters after (gram, nxt, cnt) and before them (gram, prv, cnt)."""
+    return (
+        grams.groupBy("gram").agg(F.count("*").alias("cnt")),
+        grams.where("nxt IS NOT NULL").groupBy("gram", "nxt").agg(F.count("*").alias("cnt")),
+        grams.where("prv IS NOT NULL").groupBy("gram", "prv").agg(F.count("*").alias("cnt")),
+    )
+
+
+def leaves(*tables: DataFrame) -> int:
+    """How many entries tables of counts have."""
+    return sum(t.count() for t in tables)
+
+
+def last_wins(pairs: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, value: of pairs that share a key, the one that comes last."""
+    return pairs.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def deviations(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """rows with dv_ columns: how far each column lies above its mean in its name, 0 below; and their sums and products of
+    the first with the second one place on."""
+    w = Window.partitionBy(name)
+    out = rows.withColumns({f"dv_{c}": F.greatest(F.col(c) - F.avg(c).over(w), F.lit(0.0)) for c in columns})
+    if len(columns) == 2:
+        a, b = F.col(f"dv_{columns[0]}"), F.lead(f"dv_{columns[1]}").over(w.orderBy("pos"))
+        out = out.withColumn("dv_sum", a + b).withColumn("dv_product", a * b)
+    return out
+
+
+def summed_over(rows: DataFrame, name: str, value: str, lengths: int) -> DataFrame:
+    """name, pos, value: sums over `lengths` values of n, null where one is missing, over the greatest of a name."""
+    s = rows.groupBy(name, "pos").agg(F.when(F.count(value) == lengths, F.sum(value)).alias(value))
+    return s.select(name, "pos", F.try_divide(value, F.max(value).over(Window.partitionBy(name))).alias(value))
+
+
 def profile(grams: DataFrame, name: str, n: int) -> DataFrame:
     """Freedom of the gram that ends (f_p) and begins (f_m) at each position, and their steps and peaks."""
     free = freedoms(grams.where(F.col("n") <= n))
@@ -112,18 +183,23 @@ def merge(*counts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, specials: int, most: int | None = None, least: int = 1) -> DataFrame:
-    """id, w, cnt: by falling count, then by word; ids follow the specials. A vocabulary is ranked as one list."""
+    """id, w, cnt: by falling count, then by word; ids follow the specials. Ranked by count and the word's beginning, so
+    that no task holds the whole vocabulary; a bounded one is cut first."""
     kept = counts.where(F.col("cnt") >= least)
     if most is not None:
         kept = kept.orderBy(F.desc("cnt"), "w").limit(most)
-    return kept.select((F.row_number().over(Window.orderBy(F.desc("cnt"), "w")) + specials - 1).cast("long").alias("id"), "w", "cnt")
+    return _by_count(kept).select((F.col("r") + specials - 1).cast("long").alias("id"), "w", "cnt")
+
+
+def _by_count(counts: DataFrame) -> DataFrame:
+    return ranked(counts, [F.desc("cnt"), F.col("w")], [(F.col("cnt"), True), (F.substring("w", 1, 2), False)])
 
 
 def extend(vocab: DataFrame, counts: DataFrame) -> DataFrame:
     """vocab with the words of counts that it lacks, ranked after its own."""
     new = counts.join(vocab, "w", "left_anti")
     last = vocab.agg(F.max("id").alias("last"))
-    new = new.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy(F.desc("cnt"), "w"))).alias("id"), "w", "cnt")
+    new = _by_count(new).crossJoin(F.broadcast(last)).select((F.col("last") + F.col("r")).alias("id"), "w", "cnt")
     return vocab.select("id", "w", "cnt").unionByName(new)
 
 
@@ -142,14 +218,6 @@ def encode(words: DataFrame, vocab: DataFrame, keys: list[str], length: int, sos
     return seq.join(n, keys).select(*keys, F.slice(F.concat(ids, fill), 1, length).alias("ids"))
 
 
-def truncated(a: Column, b: Column, most: Column) -> tuple[Column, Column]:
-    """Lengths of a pair cut to `most`: from the longer first, then in turn, the second first."""
-    r = F.greatest(a + b - most, F.lit(0))
-    m = F.least(r, F.abs(a - b))
-    rest = r - m
-    return a - F.when(a > b, m).otherwise(0) - F.floor(rest / 2), b - F.when(b > a, m).otherwise(0) - F.ceil(rest / 2)
-
-
 # sequences ----------------------------------------------------------------------------------------------------------
 
 
@@ -180,9 +248,10 @@ def chunks(seq: DataFrame, size: int) -> DataFrame:
 
 def split_exact(rows: DataFrame, key: str, seed: str, parts: dict[str, float], rest: str) -> DataFrame:
     """key, part: shares of the rows in the order of the dice, floors of n * share; what is left goes to rest."""
-    w = Window.orderBy(dice(seed, F.col(key)), key)
     n = rows.select(key).distinct()
-    ranked = n.select(key, F.row_number().over(w).alias("r")).crossJoin(F.broadcast(n.agg(F.count("*").alias("n"))))
+    # the dice are uniform, so that their first digits make equal buckets
+    order = ranked(n.withColumn("_dice", dice(seed, F.col(key))), [F.col("_dice"), F.col(key)], [(F.substring("_dice", 1, 3), False)])
+    dealt = order.select(key, "r").crossJoin(F.broadcast(n.agg(F.count("*").alias("n"))))
     out, at = F.lit(None), F.lit(0)
     whens = []
     for name, share in parts.items():
@@ -190,7 +259,7 @@ def split_exact(rows: DataFrame, key: str, seed: str, parts: dict[str, float], r
         whens.append((name, at))
     for name, upto in reversed(whens):
         out = F.when(F.col("r") <= upto, name).otherwise(F.lit(rest) if name == whens[-1][0] else out)
-    return ranked.select(key, out.alias("part"))
+    return dealt.select(key, out.alias("part"))
 
 
 def variant_pairs(variants: DataFrame, key: str, seed: str, times: int = 5) -> DataFrame:
@@ -205,6 +274,37 @@ def variant_pairs(variants: DataFrame, key: str, seed: str, times: int = 5) -> D
     return ranked.where(F.col("r") <= times).withColumn("k", F.explode(F.filter(F.sequence(F.col("r"), F.lit(times), F.least(F.col("m"), F.lit(times)).cast("int")), lambda x: x <= times))).select(key, F.col("k").cast("long").alias("k"), "v1", "v2")
 
 
+def negative_pairs(rows: DataFrame, keys: list[str], seeds: tuple[str, str, str] = ("n", "m", "r"), share: float = 0.25) -> DataFrame:
+    """keys, label, first, second, other_first, other_second: of pairs (keys, left, right), a share are made negative: the
+    second of one comes from another pair, whose number in the order of a dice another dice chooses, and the other's sides
+    change places."""
+    order = [dice(seeds[2], *map(F.col, keys)), *map(F.col, keys)]
+    d = rows.withColumn("_dice", dice(seeds[2], *map(F.col, keys)))
+    at = ranked(d, [F.col("_dice"), *order[1:]], [(F.substring("_dice", 1, 3), False)], (), "_r").withColumn("_r", F.col("_r") - 1)
+    n = rows.agg(F.count("*").alias("_n"))
+    drawn = at.crossJoin(F.broadcast(n)).withColumn("_pick", F.floor(uniform(seeds[1], *map(F.col, keys)) * F.col("_n")))
+    both = drawn.join(at.select(F.col("_r").alias("_pick"), F.col("right").alias("_other")), "_pick")
+    good = uniform(seeds[0], *map(F.col, keys)) > share
+    swap = lambda a, b: F.when(good, F.col(a)).otherwise(F.col(b))
+    return both.select(*keys, F.when(good, 1).otherwise(0).alias("label"), F.col("left").alias("first"), swap("right", "_other").alias("second"), swap("left", "right").alias("other_first"), swap("right", "left").alias("other_second"))
+
+
+def systematic(rows: DataFrame, order: Column, bucket: Column, text: Column, wanted: int, excluded: tuple[str, ...]) -> DataFrame:
+    """i, line, text: lines at equal steps through rows in an order, each the first from there on that is neither empty nor,
+    but for the last line, begins with an excluded word. Lines are numbered from 0."""
+    at = ranked(rows.withColumn("_text", text), [order], [(bucket, False)], (), "line").withColumn("line", F.col("line") - 1)
+    n = rows.agg(F.count("*").alias("_n"))
+    left_out = F.lit(False)
+    for x in excluded:
+        left_out = left_out | F.col("_text").startswith(x)
+    usable = at.crossJoin(F.broadcast(n)).where(~((F.length("_text") == 0) | (left_out & (F.col("line") + 1 < F.col("_n")))))
+    steps = n.select(F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))).alias("i"), (F.bround(F.col("_n") / F.lit(float(wanted + 1)), 0)).alias("_step"))
+    steps = steps.select(F.col("i").cast("long").alias("i"), (F.col("i") * F.col("_step")).cast("long").alias("_from"))
+    # few wanted lines meet all lines, of which a task keeps the least for each
+    near = usable.select("line", "_text").join(F.broadcast(steps), F.col("line") >= F.col("_from"))
+    return near.groupBy("i").agg(F.min("line").alias("line"), F.min_by("_text", "line").alias("text"))
+
+
 # graphs -------------------------------------------------------------------------------------------------------------
 
 
@@ -232,35 +332,3 @@ def last_before(rows: DataFrame, key: str, order: list[str], is_def: Column, is_
     """Uses with the latest definition before them in their key, null if there is none."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("def", F.last(F.when(is_def, F.col(name)), ignorenulls=True).over(w)).where(is_use)
-
-
-# similarity and metrics ---------------------------------------------------------------------------------------------
-
-
-def nearest(vectors: DataFrame, top: int, blocks: int = 16) -> DataFrame:
-    """a, b, rk: each vector's `top` most similar others by cosine. vectors: id, v. An exact search over all pairs, dealt
-    in blocks: a query meets every block, which keeps its own `top` before the blocks' lists are merged."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    v = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), norm.alias("n"))
-    q = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    t = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(t, "blk").where("a <> b").select("a", "b", "blk", F.round(dot / (F.col("na") * F.col("nb")), 9).alias("sim"))
-    own = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("a", "blk").orderBy(F.desc("sim"), "b"))).where(F.col("rk") <= top)
-    return own.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rk") <= top).select("a", "b", "rk", "sim")
-
-
-def multiset_f1(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """key, p, r, f1 of bags of words (key, w): b is the guess."""
-    x, y = a.groupBy(key, "w").agg(F.count("*").alias("x")), b.groupBy(key, "w").agg(F.count("*").alias("y"))
-    s = x.join(y, [key, "w"], "full").groupBy(key).agg(F.sum("x").alias("n"), F.sum("y").alias("m"), F.sum(F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))).alias("hit"))
-    p, r = F.coalesce(F.try_divide("hit", "m"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "n"), F.lit(0.0))
-    return s.select(key, F.round(p, 9).alias("p"), F.round(r, 9).alias("r"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 9).alias("f1"))
-
-
-def entropy(counts: DataFrame, by: str) -> DataFrame:
-    """by, h: entropy in bits of counts (by, cnt), over log2 of their number where that is above two."""
-    t = counts.groupBy(by).agg(F.sum("cnt").alias("n"), F.count("*").alias("k"))
-    h = -F.sum(F.col("cnt") / F.col("n") * F.log2(F.col("cnt") / F.col("n")))
-    out = counts.join(t, by).groupBy(by, "k").agg(h.alias("h"))
-    return out.select(by, F.round(F.when(F.col("k") > 2, F.col("h") / F.log2("k")).otherwise(F.col("h")), 9).alias("h"))

@@ -1,0 +1 @@
+"""From raw inputs to finished tables: names, pair corpora, training sets."""

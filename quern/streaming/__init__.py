@@ -1,0 +1 @@
+"""Extension: incremental counts."""
