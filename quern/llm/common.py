@@ -140,34 +140,33 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, each encoded by itself with a space before it, and how many each has. Nothing is kept.
 
         A word of Latin letters is one piece, and so are the marks after it; pieces go to the byte-pair model as they are.
         The first id of a word, and no other, holds its space.
         """
-        plain, at, rest = [], [], []
-        for k, w in enumerate(words):
-            stem = w.rstrip(_MARKS)
-            if self.pieces and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                plain.append(w if len(stem) == len(w) else f"{stem}\n{w[len(stem) :]}")
-                at.append(k)
-            else:
-                rest.append(k)
+        if not isinstance(words, pa.Array):
+            words = pa.array(words, pa.string())
+        parted = pc.replace_substring_regex(words, f"([{_MARK_CLASS}]+)$", "\n\\1")
+        plain = pc.match_substring_regex(parted, f"^[{_LETTER_CLASS}]+(\n[{_MARK_CLASS}]+)?$").to_numpy(zero_copy_only=False) & (self.pieces is not None)
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         ids, size = [np.zeros(0, "<u4")], np.zeros(len(words), np.int64)
-        if plain:
-            pieces = (" " + "\n ".join(plain)).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
+        if len(at):
+            text = " " + "\n ".join(strings(parted.take(pa.array(at))))
+            pieces = text.encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
             parts = [pieces[i : i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
             got = self.pieces.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.concatenate([np.array(x.ids, "<u4") for x in got]))
             size[at] = np.diff(np.append(np.flatnonzero(self.spaced[ids[-1]]), len(ids[-1])))
-        if rest:
-            raw = self._ids([" " + words[k] for k in rest])
+        if len(rest):
+            raw = self._ids([" " + w for w in strings(words.take(pa.array(rest)))])
             size[rest] = [len(x) // 4 for x in raw]
             ids.append(np.frombuffer(b"".join(raw), "<u4"))
+        order = np.concatenate([at, rest])
         place = np.empty(len(words), np.int64)
-        place[at + rest] = np.arange(len(words))
-        return gathered(np.concatenate(ids), size[at + rest], place)[0], size
+        place[order] = np.arange(len(words))
+        return gathered(np.concatenate(ids), size[order], place)[0], size
 
     def _several(self, cuts: list[str]) -> dict[str, bytes]:
         """Ids of cuts without line feeds and white space at their ends: joined by line feeds, each a piece of its own."""
@@ -204,9 +203,7 @@ class Encoder:
                 (spaced if c[0] == " " else plain).append(c)
         out = self._several(plain)
         if spaced:
-            ids, size = self.words([c[1:] for c in spaced])
-            raw, ends = ids.tobytes(), np.cumsum(4 * size).tolist()
-            out.update(zip(spaced, [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            out.update(zip(spaced, self._raw(pa.array([c[1:] for c in spaced], pa.string())), strict=True))
         if alone:
             out.update(zip(alone, self._ids(alone), strict=True))
         if lines:
@@ -214,6 +211,11 @@ class Encoder:
             out.update([(c, find(a) + lf + find(b)) for c, a, b in lines])
         return out
 
+    def _raw(self, words: pa.Array) -> list[bytes]:
+        ids, size = self.words(words)
+        raw, ends = ids.tobytes(), np.cumsum(4 * size).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
     def flat(self, texts: pa.Array | Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the id `end` after it if there is one, and where each text begins
         in it (one more entry, for the last one's end)."""
@@ -235,16 +237,23 @@ class Encoder:
         whole = np.flatnonzero(np.logical_or.reduceat(odd, first)) if len(n) else first
         code[starting] += k  # the first cut of a text has no space before it
         used = np.flatnonzero(np.bincount(code, minlength=2 * k))
-        names = different.to_pylist()
+        names = strings(different)
         cuts = [" " + names[c] if c < k else names[c - k] for c in used.tolist()]
         raw = list(map(self.cache.get, cuts))
-        new = [c for c, x in zip(cuts, raw, strict=True) if x is None]
-        if new:
-            made = self.cuts(new)
+        new = np.flatnonzero(np.fromiter((x is None for x in raw), bool, len(raw)))
+        if len(new):
+            # words with a space before them go to the model together
+            of = used[new] % max(k, 1)
+            word = (used[new] < k) & ~lead[of] & ~trail[of] & ~none[of] & ~pc.match_substring(different, "\n").to_numpy(zero_copy_only=False)[of]
+            some, other = new[word].tolist(), new[~word].tolist()
+            for i, x in zip(some, self._raw(different.take(pa.array(of[word]))), strict=True):
+                raw[i] = x
+            made = self.cuts([cuts[i] for i in other])
+            for i in other:
+                raw[i] = made[cuts[i]]
             if len(self.cache) < self.LIMIT:
-                self.cache.update((c, x) for c, x in made.items() if len(c) <= 32)
-            get = made.get
-            raw = [get(c, b"") if x is None else x for c, x in zip(cuts, raw, strict=True)]
+                self.cache.update(made)
+                self.cache.update([(cuts[i], raw[i]) for i in some])
         number = np.zeros(2 * k + 1 + len(whole), np.int64)
         number[used] = np.arange(len(used))
         if end is not None:
@@ -270,6 +279,11 @@ class Encoder:
         return [ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def strings(array: pa.Array) -> list[str]:
+    """An Arrow array of texts as a list, in one step."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(values: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values lie in runs of these sizes: the runs number `at`, one after the other, and where each of them begins."""
     first = np.cumsum(size) - size
@@ -278,8 +292,9 @@ def gathered(values: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.n
     return values[np.repeat(first[at] - sums[:-1], each) + np.arange(sums[-1])], sums
 
 
-#: ASCII punctuation, which the pre-tokenizer keeps apart from letters and digits.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII punctuation, which the pre-tokenizer keeps apart from letters and digits, and Latin letters, as classes of patterns.
+_MARK_CLASS = r"!-/:-@\[-`{-~"
+_LETTER_CLASS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 
 
 def _byte_letters() -> dict[int, str]:
