@@ -96,7 +96,7 @@ class Encoder:
     time. The result equals encoding each whole text.
     """
 
-    LIMIT = 800_000
+    LIMIT = 400_000
     JOIN = 4000
     _made: dict[str, Encoder] = {}
 
@@ -252,8 +252,8 @@ class Encoder:
             for i in other:
                 raw[i] = made[cuts[i]]
             if len(self.cache) < self.LIMIT:
-                self.cache.update(made)
-                self.cache.update([(cuts[i], raw[i]) for i in some])
+                self.cache.update((c, x) for c, x in made.items() if len(c) <= 32)
+                self.cache.update([(cuts[i], raw[i]) for i in some if len(cuts[i]) <= 32])
         number = np.zeros(2 * k + 1 + len(whole), np.int64)
         number[used] = np.arange(len(used))
         if end is not None:

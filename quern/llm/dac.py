@@ -154,7 +154,7 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(lengths), pa.int64()), (int(lengths.sum()), pa.int64()), (payload, pa.binary()))], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for big in it:
-            for b in batches(big, 8192, 8 << 20):
+            for b in batches(big, 4096, 4 << 20):
                 doc_ids = b.column("doc_id").fill_null(-(2**63)).to_numpy()
                 ids, at = encoder.flat(b.column("text"), end_id)
                 x = 0

@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         encoder = Encoder.get(tokenizer)
         names = ["doc_id", *carried, "piece", "start", "length", "ids_crc32"]
         for big in it:
-            for b in batches(big, 8192, 8 << 20):
+            for b in batches(big, 4096, 4 << 20):
                 ids, at = encoder.flat(b.column("text"), end_id)
                 size = np.diff(at)
                 n = -(-size // capacity)
