@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import trimmed
+
 #: The ends of the files that describe a binary's graphs.
 EDGES, INDICATOR, ATTRIBUTES, LABELS, INSTRUCTIONS = "_cfg_A.txt", "_cfg_graph_indicator.txt", "_cfg_node_attributes.txt", "_cfg_graph_labels.txt", "_inst.txt"
 
@@ -58,7 +60,7 @@ def candidates(spark: SparkSession, root: str, ends: tuple[str, ...] = (), magic
 
 def lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """path, line_no (from 1), line: of files, each read whole. A line end after the last line makes no line."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     text = F.regexp_replace("value", "\r\n", "\n")
     rows = whole.select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace(text, "\n$", ""), "\n").alias("l"), "value").where("value <> ''")
     return rows.select("path", F.posexplode("l").alias("n", "line")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
@@ -66,7 +68,7 @@ def lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFr
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path: one a line."""
-    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    return spark.read.text(path).select(trimmed(F.col("value")).alias("path")).where("path <> ''")
 
 
 def half(rows: DataFrame, order: str) -> DataFrame:
@@ -95,31 +97,31 @@ def graphs(spark: SparkSession, root: str) -> Graphs:
         rows = lines(spark, root, f"*{end}").where(~base_name(F.col("path")).startswith("raw_"))
         return rows.select(F.regexp_replace("path", f"{end}$", "").alias("binary"), "line_no", "line")
 
-    indicator = part(INDICATOR).select("binary", F.col("line_no").alias("node_id"), F.trim("line").cast("long").alias("graph_id"))
-    attributes = part(ATTRIBUTES).select("binary", F.col("line_no").alias("node_id"), F.trim("line").alias("text"))
+    indicator = part(INDICATOR).select("binary", F.col("line_no").alias("node_id"), trimmed(F.col("line")).cast("long").alias("graph_id"))
+    attributes = part(ATTRIBUTES).select("binary", F.col("line_no").alias("node_id"), trimmed(F.col("line")).alias("text"))
     nodes = indicator.join(attributes, ["binary", "node_id"], "left")
     ends = F.split("line", ",")
     edges = part(EDGES).select("binary", F.get(ends, 0).cast("long").alias("src"), F.get(ends, 1).cast("long").alias("dst"))
     edges = edges.join(indicator.select("binary", F.col("node_id").alias("src"), "graph_id"), ["binary", "src"]).select("binary", "graph_id", "src", "dst")
-    labels = part(LABELS).select("binary", F.col("line_no").alias("graph_id"), F.trim("line").alias("label"))
+    labels = part(LABELS).select("binary", F.col("line_no").alias("graph_id"), trimmed(F.col("line")).alias("label"))
     sizes = indicator.groupBy("binary").agg(F.max("graph_id").alias("n")).join(labels.groupBy("binary").agg(F.count("*").alias("m")), "binary", "full")
     wrong = sizes.where("NOT (n <=> m)").limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]['binary']} has {wrong[0]['n']} graphs and {wrong[0]['m']} labels")
-    instructions = part(INSTRUCTIONS).select("binary", F.col("line_no").alias("graph_id"), F.posexplode(F.split(F.trim("line"), "\t")).alias("pos", "text"))
+    instructions = part(INSTRUCTIONS).select("binary", F.col("line_no").alias("graph_id"), F.posexplode(F.split(trimmed(F.col("line")), "\t")).alias("pos", "text"))
     return Graphs(nodes, edges, labels, instructions)
 
 
 def pair_records(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, name, pairs: records `name;pair;pair` of two pairs or more; of records of one name in a file the first."""
-    fields = F.split(F.trim("line"), ";")
+    fields = F.split(trimmed(F.col("line")), ";")
     rows = lines(spark, path, glob).select("path", "line_no", F.get(fields, 0).alias("name"), F.slice(fields, 2, 1 << 30).alias("pairs"))
     return rows.where(F.size("pairs") > 1).groupBy("path", "name").agg(F.min_by("pairs", "line_no").alias("pairs"))
 
 
 def pair_corpus(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, left, right: pairs by tabs, a pair a line."""
-    f = F.split(F.trim("line"), "\t")
+    f = F.split(trimmed(F.col("line")), "\t")
     return lines(spark, path).select("path", "line_no", F.get(f, 0).alias("left"), F.get(f, 1).alias("right"))
 
 
@@ -136,5 +138,5 @@ def word_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
     """word, clusters: from JSON objects of words and lists."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("word", "clusters"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("word", "clusters"))
     return rows.select("word", "clusters")
