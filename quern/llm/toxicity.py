@@ -63,7 +63,10 @@ class Model:
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood ratio of each word after the one before."""
         get, n = self.index.get, len(self.index)
-        ids = np.fromiter((get(w, n) for w in words), np.int64, len(words))
+        return self.ratios_of(np.fromiter((get(w, n) for w in words), np.int64, len(words)))
+
+    def ratios_of(self, ids: np.ndarray) -> np.ndarray:
+        n = len(self.index)
         before = np.concatenate([[n], ids[:-1]]) if len(ids) else ids
         out = self.uni[ids] + self.back[before]
         if len(self.keys) and len(ids):
@@ -74,9 +77,12 @@ class Model:
 
     def features(self, w: list[bytes]) -> tuple[float, float]:
         """Log-likelihood ratio per word: of the whole text, and of its most toxic passage."""
-        if not w:
+        return self.summary(self.ratios(w))
+
+    @staticmethod
+    def summary(r: np.ndarray) -> tuple[float, float]:
+        if not len(r):
             return 0.0, 0.0
-        r = self.ratios(w)
         if len(r) <= PASSAGE:
             return float(r.mean()), float(r.sum() / PASSAGE)
         s = np.concatenate([[0.0], np.cumsum(r)])
@@ -99,20 +105,21 @@ def _once(docs: list[np.ndarray]) -> list[np.ndarray]:
     before them, over half of the larger's bigrams. A group of copies is evidence of one document."""
     if not docs:
         return []
-    kinds, spread = np.unique(np.concatenate(docs), return_counts=True)
-    holders: dict[int, list[int]] = {}
-    kept: list[np.ndarray] = []
-    for own in docs:
-        n = spread[np.searchsorted(kinds, own)]
+    size = np.array([len(d) for d in docs])
+    _, which, spread = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(docs), dtype=np.int32), size)[np.argsort(which, kind="stable")]
+    start, at = np.cumsum(spread) - spread, np.cumsum(size) - size
+    stays = np.zeros(len(docs), bool)
+    for k, own in enumerate(docs):
+        mine = which[at[k] : at[k] + size[k]]
         # over half of the bigrams are shared, so one of the rarer half of them is; those of one document are not
-        rare = own[np.lexsort((own, n))][: (len(own) + 1) // 2]
-        rare = rare[spread[np.searchsorted(kinds, rare)] > 1].tolist()
-        near = {k for p in rare for k in holders.get(p, ())}
-        if not any(2 * len(np.intersect1d(own, kept[k], assume_unique=True)) > max(len(own), len(kept[k])) for k in near):
-            for p in own[n > 1].tolist():
-                holders.setdefault(p, []).append(len(kept))
-            kept.append(own)
-    return kept
+        rare = mine[np.argsort(spread[mine], kind="stable")][: (len(mine) + 1) // 2]
+        rare = rare[spread[rare] > 1]
+        n = spread[rare]
+        others = holders[np.repeat(start[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        near = np.flatnonzero(np.bincount(others[(others < k) & stays[others]], minlength=1))
+        stays[k] = not any(2 * len(np.intersect1d(own, docs[j], assume_unique=True)) > max(len(own), len(docs[j])) for j in near)
+    return [docs[k] for k in np.flatnonzero(stays)]
 
 
 @dataclass
@@ -126,12 +133,16 @@ class Tally:
 
     @classmethod
     def of(cls, toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Tally:
-        known = sorted({w for docs in (toxic, ordinary) for d in docs for w in d})
-        index = dict(zip(known, range(len(known)), strict=True))
-        n, pairs, times = len(known), [], []
+        index: dict[bytes, int] = {}
+        numbered = [[np.array([index.setdefault(w, len(index)) for w in d], np.int64) for d in docs] for docs in (toxic, ordinary)]
+        return cls.of_ids(index, *numbered)
+
+    @classmethod
+    def of_ids(cls, index: dict[bytes, int], toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> Tally:
+        """From documents of words by their numbers."""
+        n, pairs, times = len(index), [], []
         for docs in (toxic, ordinary):
-            rows = [np.array([n, *(index[w] for w in d)], np.int64) for d in docs if d]
-            rows = _once([np.unique(r[:-1] * (n + 1) + r[1:]) for r in rows])
+            rows = _once([np.unique(np.concatenate([[n], d[:-1]]) * (n + 1) + d) for d in docs if len(d)])
             k, t = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_counts=True)
             pairs.append(k)
             times.append(t.astype(float))
@@ -141,7 +152,7 @@ class Tally:
         """The two models. discount: taken from each count, as far as it goes, and given to the level below."""
         n = len(self.index)
         keys = np.union1d(*self.pairs)
-        first, second = keys // (n + 1), keys % (n + 1)
+        first, second = (keys // (n + 1)).astype(np.int32), (keys % (n + 1)).astype(np.int32)
         # continuation counts, each class's own and shared
         own = np.stack([np.bincount(k % (n + 1), minlength=n + 1) for k in self.pairs], axis=1).astype(float)
         shared = (own.sum(axis=1) + 1) / (own.sum() + n + 1)
@@ -181,13 +192,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarr
 
 def learn(rows: list[tuple[int, str | None, int]], discounts: tuple[float | None, ...] = DISCOUNTS) -> Model:
     """rows: doc_id, text, toxic. Counts on one half choose the discount and the link on the other; then all rows count."""
-    docs = [(zlib.crc32(b"half" + str(i).encode()) % 2, tokens(t), y) for i, t, y in rows]
+    index: dict[bytes, int] = {}
+    docs = []
+    for i, text, y in rows:  # words are kept as numbers, as the driver holds the whole sample
+        docs.append((zlib.crc32(b"half" + str(i).encode()) % 2, np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int64), y))
     if len({y for *_, y in docs}) < 2:
         base = 30.0 if docs and docs[0][2] else -30.0
         none = np.zeros(1)
         return Model({}, none, none, np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, base))
     pick = lambda half, y: [w for h, w, c in docs if h != half and c == y]
-    halves = [(h, Tally.of(pick(h, 1), pick(h, 0))) for h in (0, 1) if pick(h, 1) and pick(h, 0)]
+    halves = [(h, Tally.of_ids(index, pick(h, 1), pick(h, 0))) for h in (0, 1) if pick(h, 1) and pick(h, 0)]
     best = None
     for d in discounts:
         x, y = [], []
@@ -195,13 +209,14 @@ def learn(rows: list[tuple[int, str | None, int]], discounts: tuple[float | None
             m = tally.model(d)
             for h, w, c in docs:
                 if h == half:
-                    x.append(m.features(w))
+                    x.append(m.summary(m.ratios_of(w)))
                     y.append(c)
         if len(set(y)) == 2:
             w, loss = _logistic(np.array(x), np.array(y, float))
             if best is None or loss < best[0]:
                 best = loss, d, w
-    model = Tally.of(pick(2, 1), pick(2, 0)).model(best[1] if best else discounts[0])
+    del halves
+    model = Tally.of_ids(index, pick(2, 1), pick(2, 0)).model(best[1] if best else discounts[0])
     if best:
         model.link = tuple(map(float, best[2]))
     return model
