@@ -93,10 +93,12 @@ def relabelled(nodes: DataFrame, edges: DataFrame, graph: str, most: int) -> Dat
 
 def merged_blocks(parents: DataFrame, held: DataFrame, rounds: int = 6) -> DataFrame:
     """block, owner: each block (parents: block, parent; a root's is null) and the nearest of it and its ancestors that is
-    in held (block), null if there is none. Pointers double each round, so that rounds reach 2**rounds ancestors."""
+    in held (block), null if there is none. Pointers double each round, so that rounds reach 2**rounds ancestors; a round's
+    table is persisted, as the next one reads it twice."""
     at = parents.join(held.select("block", F.lit(True).alias("own")), "block", "left")
     at = at.select("block", F.when(F.col("own"), F.col("block")).otherwise(F.col("parent")).alias("owner"), F.coalesce("own", F.lit(False)).alias("done"))
     for _ in range(rounds):
+        at = at.persist()
         up = at.select(F.col("block").alias("owner"), F.col("owner").alias("next"), F.col("done").alias("next_done"))
         at = at.join(up, "owner", "left").select("block", F.when(F.col("done"), F.col("owner")).otherwise(F.col("next")).alias("owner"), (F.col("done") | F.coalesce("next_done", F.lit(False))).alias("done"))
     return at.select("block", F.when(F.col("done"), F.col("owner")).alias("owner"))

@@ -113,7 +113,8 @@ def adjacency(spark, d):
 
 
 @query("merged_blocks", """
-WITH RECURSIVE b AS (SELECT o_orderkey AS block, (SELECT max(x.o_orderkey) FROM orders x WHERE x.o_orderkey <= orders.o_orderkey // 2) AS parent, o_orderstatus = 'F' AS own FROM orders),
+WITH RECURSIVE b AS MATERIALIZED (SELECT o.o_orderkey AS block, CASE WHEN p.o_orderkey < o.o_orderkey THEN p.o_orderkey END AS parent, o.o_orderstatus = 'F' AS own
+ FROM (SELECT *, o_orderkey // 2 AS h FROM orders) o ASOF LEFT JOIN (SELECT o_orderkey FROM orders) p ON o.h >= p.o_orderkey),
 r AS (SELECT block, CASE WHEN own THEN block ELSE parent END AS owner, own AS done FROM b
  UNION ALL SELECT r.block, CASE WHEN b.own THEN b.block ELSE b.parent END, b.own FROM r JOIN b ON b.block = r.owner WHERE NOT r.done)
 SELECT o_orderkey AS block, o.owner FROM orders LEFT JOIN (SELECT block, owner FROM r WHERE done) o ON o.block = o_orderkey""")
@@ -129,6 +130,7 @@ def merged_blocks(spark, d):
     tops = marks.groupBy("bucket").agg(F.max(own).alias("top"))
     before = tops.select("bucket", F.max("top").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     parents = marks.withColumn("p", here).join(before, "bucket").where("kind = 1").select("block", F.coalesce("p", "before").alias("parent"))
+    parents = parents.select("block", F.when(F.col("parent") < F.col("block"), F.col("parent")).alias("parent"))
     return G.merged_blocks(parents, o.where("o_orderstatus = 'F'").select("block"))
 
 
