@@ -214,7 +214,7 @@ class Encoder:
     def _raw(self, words: pa.Array) -> list[bytes]:
         ids, size = self.words(words)
         raw, ends = ids.tobytes(), np.cumsum(4 * size).tolist()
-        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return [raw[x:y] for x, y in zip([0, *ends][: len(ends)], ends, strict=True)]
 
     def flat(self, texts: pa.Array | Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the id `end` after it if there is one, and where each text begins
