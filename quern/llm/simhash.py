@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,46 +240,108 @@ def query(docs: DataFrame) -> DataFrame:
 #: What stages that remove near copies go by: words of a shingle, and the least Jaccard similarity of two sets of them.
 STAGE_WIDTH = 5
 SIMILARITY = 0.8
-#: Least values of hashes of the shingles, in bands of ROWS: a pair at 0.8 agrees on one of 20 bands but for 1 in 30,000.
-BANDS, ROWS = 20, 4
-#: Rounds in which a band's documents meet their smallest one.
-MEETINGS = 2
+#: Slots that shingles are counted in, by hash, and blocks of slots that tasks add up.
+SLOTS, SLOT_BLOCKS = 1 << 20, 16
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+def _slot_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """Of each slot, how many shingles of all texts fall into it."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for big in it:
+            for b in batches(big, 1024, 1 << 20):
+                h = np.array([x for t in b.column("text").to_pylist() for x in shingle_hashes(t, width)], _U)
+                total += np.bincount((h & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if total.any():
+            raw = [zstandard.compress(x.astype("<i8").tobytes(), 1) for x in total.reshape(SLOT_BLOCKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int32()), pa.array(raw, pa.binary())], ["block", "n"])
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for k, raw in zip(b.column("block").to_pylist(), b.column("n").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(raw), "<i8")
+        if sums:
+            raw = [zstandard.compress(x.astype("<i8").tobytes(), 1) for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], ["block", "n"])
+
+    out = np.zeros((SLOT_BLOCKS, SLOTS // SLOT_BLOCKS), np.int64)
+    schema = "block int, n binary"
+    for r in docs.select("text").mapInArrow(count, schema).repartition(SLOT_BLOCKS, "block").mapInArrow(add, schema).collect():  # SLOTS numbers
+        out[r["block"]] += np.frombuffer(zstandard.decompress(bytes(r["n"])), "<i8")
+    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp, same binary (128 bits of the words), bands: hashes of the least values, none for a text without words."""
-    seeds = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray | int:
+    """The least number of shingles that a set of n shares with one like it; rounding errs to the smaller side."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp, same binary (128 bits of the words), size (of the set of shingles), rarest: its first shingles in an
+    order of all shingles, rare slots first. Sets that are alike have one of these in common."""
+    slots = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, width))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = slots.value
         for big in it:
             for b in batches(big):
-                fps, same, bands = [], [], []
+                fps, same, size, rarest = [], [], [], []
                 for text in b.column("text").to_pylist():
                     h = np.array(shingle_hashes(text, width), _U)
                     fps.append(_fold(h))
                     same.append(xxhash.xxh3_128_digest(b" ".join(lower_words(text))))
-                    least = np.full(len(seeds), -1, np.int64).view(_U)
-                    for k in range(0, len(h), 4096):
-                        part = h[k : k + 4096, None] ^ seeds
-                        part *= _U(0xD6E8FEB86659FD93)
-                        part ^= part >> _U(32)
-                        part *= _U(0xD6E8FEB86659FD93)
-                        least = np.minimum(least, part.min(axis=0))
-                    rows = least.reshape(BANDS, ROWS)
-                    band = rows[:, 0]
-                    for r in range(1, ROWS):
-                        band = _mixed(band + rows[:, r] * _U(0x9E3779B97F4A7C15))
-                    bands.append(band.view(np.int64).tolist() if len(h) else [])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64)), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "bands"])
-
-    return docs.mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>")
+                    h = np.unique(h)
+                    size.append(len(h))
+                    most = len(h) - int(_least_shared(len(h), similarity)) + 1 if len(h) else 0
+                    # equal counts stay in the order of hashes
+                    first = np.argsort(count[(h & _U(SLOTS - 1)).astype(np.int64)], kind="stable")[:most]
+                    rarest.append(h[first].view(np.int64))
+                ends = np.cumsum([0, *map(len, rarest)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rarest])))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64)), pa.array(same, pa.binary()), pa.array(size, pa.int32()), lists], ["doc_id", "fp", "same", "size", "rarest"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, same binary, size int, rarest array<long>")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows (h, node, size, pos), those whose h another row has, too, with the first row of that h: rep, rep_size and
+    rep_pos."""
+    names = ["h", "node", "size", "pos"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[int] | None = None  # of the h that the last batch ended with
+        alone = False  # whether that row has not been given out
+        for b in it:
+            if not b.num_rows:
+                continue
+            c = [b.column(x).to_numpy().astype(np.int64) for x in names]
+            if first is not None:
+                c = [np.concatenate([[v], x]) for v, x in zip(first, c, strict=True)]
+            start = np.flatnonzero(np.concatenate([[True], c[0][1:] != c[0][:-1]]))
+            number = np.diff(np.append(start, len(c[0])))
+            rep = np.repeat(start, number)
+            many = np.repeat(number > 1, number)
+            if first is not None and not alone:
+                many[0] = False  # given out before
+            last = int(start[-1])
+            alone = bool(number[-1] == 1) and (first is None or last > 0 or alone)
+            first = [int(x[last]) for x in c]
+            k = np.flatnonzero(many)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in c] + [pa.array(x[rep[k]]) for x in c[1:]], [*names, "rep", "rep_size", "rep_pos"])
+
+    rows = rows.select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"))
+    rows = rows.repartition("h").sortWithinPartitions("h", "node", "size", "pos")
+    return rows.mapInArrow(run, "h long, node long, size long, pos long, rep long, rep_size long, rep_pos long")
+
+
+def _may_be_alike(similarity: float, a: str = "", b: str = "rep_") -> Column:
+    """Whether two sets may be alike whose first shingle in common, in the order, is in places a.pos and b.pos."""
+    least = F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    return (F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos"))) >= least
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -313,28 +376,47 @@ def groups(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILA
     """doc_id, component: every document that is not the smallest of its group, and the smallest. docs: doc_id, text, no
     null ids.
 
-    Candidates are texts of equal words, SimHash neighbours, and documents that share a band of least hash values; all but
-    the first are verified. A band's documents meet the smallest of them; those that are not like it meet again without it.
+    Exact: two sets that are alike have one of their rarest shingles in common (prefix filter). Candidates that are met
+    first are texts of equal words, SimHash neighbours, and documents with the smallest one of a shingle. Of what these
+    leave apart, all pairs of a shingle that their sizes and its places don't rule out are compared.
     """
-    sketches = checkpoint(_sketches(docs, width))
-    reps = checkpoint(sketches.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    sketches = checkpoint(_sketches(docs, width, similarity))
+    reps = checkpoint(sketches.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp")))
     hot = hot_keys(reps, ["same"])
     equal = salted(sketches.select("same", "doc_id"), hot, ["same"], F.col("doc_id")).join(spread(reps.select("same", "node"), hot, ["same"]), ["same", "salt"])
     edges = equal.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    pairs = links(reps.groupBy("fp").agg(F.min("node").alias("node"))).select("a", "b").where("a <> b")
-    rows = reps.select("node", F.posexplode("bands").alias("band", "h"))
-    for _ in range(MEETINGS):
-        least = checkpoint(rows.groupBy("band", "h").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-        hot = hot_keys(least, ["band", "h"])
-        met = salted(rows, hot, ["band", "h"], F.col("node")).join(spread(least.drop("n"), hot, ["band", "h"]), ["band", "h", "salt"])
-        met = checkpoint(met.where("node <> rep").select("band", "h", "node", "rep"))
-        found = met.select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        pairs = checkpoint((found if pairs is None else found.unionByName(pairs)).distinct())
-        judged = _alike(docs, pairs, width, similarity)
-        edges, pairs = edges.unionByName(judged.where("alike").select("a", "b")), None
-        unlike = judged.where("NOT alike").select(F.col("a").alias("node"), F.col("b").alias("rep"))
-        rows = met.join(unlike, ["node", "rep"]).select("node", "band", "h")
-    return connected(edges).select(F.col("node").alias("doc_id"), "component")
+    rows = sketches.join(reps.select("same", F.col("node").alias("doc_id")), ["same", "doc_id"], "left_semi")
+    met = checkpoint(_shared(rows.select(F.col("doc_id").alias("node"), "size", F.posexplode("rarest").alias("pos", "h"))))
+    near = links(reps.groupBy("fp").agg(F.min("node").alias("node"))).select("a", "b")
+    stars = met.where((F.col("node") != F.col("rep")) & _may_be_alike(similarity)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    pairs = checkpoint(stars.unionByName(near).where("a <> b").distinct())
+    judged = _alike(docs, pairs, width, similarity)
+    found = judged.where("alike").select("a", "b")
+    comp = checkpoint(connected(edges.unionByName(found)))
+    # shingles whose documents are still of several components, and those that are not of the largest
+    here = met.select("h", "node", "size", "pos").join(comp, "node", "left")
+    here = here.select("h", "node", "size", "pos", F.coalesce("component", "node").alias("component"))
+    parts = here.groupBy("h", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = checkpoint(here.join(main, "h"))
+    side = lambda df, p: df.select("h", *(F.col(c).alias(p + c) for c in ("node", "size", "pos", "component", "main")))
+    more = side(mixed.where("component <> main"), "x_").join(side(mixed, "y_"), "h")
+    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_node") > F.col("y_node")))
+    more = more.where(apart & _may_be_alike(similarity, "x_", "y_")).select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
+    more = checkpoint(more.distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    out = comp.select(F.col("node").alias("doc_id"), "component")
+    late = _alike(docs, more, width, similarity).where("alike") if more.limit(1).count() else more.limit(0)
+    if not late.limit(1).count():
+        return out
+    # components that these pairs join, and what becomes of their documents
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    late = late.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = checkpoint(connected(late.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))))
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    hot = hot_keys(out.groupBy("component").agg(F.count("*").alias("n")), ["component"])
+    # components of no smaller one are in `joined` alone
+    moved = salted(out, hot, ["component"], F.col("doc_id")).join(spread(to, hot, ["component"]), ["component", "salt"], "left")
+    return moved.select("doc_id", F.coalesce("to", "component").alias("component")).unionByName(joined.select(F.col("node").alias("doc_id"), "component"))
 
 
 def keep_one(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
