@@ -137,6 +137,12 @@ class Encoder:
             cls._made[name] = cls(name if os.path.sep in name else public_tokenizers.path(name))
         return cls._made[name]
 
+    @classmethod
+    def drop(cls, name: str = TOKENIZER) -> None:
+        """Gives the encoder's memory back: other stages follow in the same worker."""
+        cls._made.pop(name, None)
+        pa.default_memory_pool().release_unused()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -27,9 +27,10 @@ BIN = 8
 RANK_PARTS = 64
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, carried: tuple[str, ...] = ()) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, carried: tuple[str, ...] = (), room: int = 4 << 20, keep: bool = True) -> DataFrame:
     """doc_id, carried, piece, start, length, ids_crc32. Documents over the capacity are cut; the first piece may be
-    shorter. carried: columns of docs that their pieces keep.
+    shorter. carried: columns of docs that their pieces keep. room: bytes of text that are encoded at once; keep: whether
+    the ids of words stay with a worker after a task, for the next one.
 
     A null text is empty and has the end id alone. Repeated rows are documents of their own.
     """
@@ -38,7 +39,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         encoder = Encoder.get(tokenizer)
         names = ["doc_id", *carried, "piece", "start", "length", "ids_crc32"]
         for big in it:
-            for b in batches(big, 4096, 4 << 20):
+            for b in batches(big, 4096, room):
                 ids, at = encoder.flat(b.column("text"), end_id)
                 size = np.diff(at)
                 n = -(-size // capacity)
@@ -50,6 +51,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip((at[owner] + start).tolist(), (at[owner] + end).tolist(), strict=True)]
                 own = [b.column(c).take(pa.array(owner)) for c in ("doc_id", *carried)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], names)
+        if not keep:
+            Encoder.drop(tokenizer)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in carried), "piece int, start long, length long, ids_crc32 long"])

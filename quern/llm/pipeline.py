@@ -62,7 +62,8 @@ def _time(docs: DataFrame) -> DataFrame:
     n = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row per file
     time = F.least(F.floor((F.col("before") + F.col("row")) * TIMES / max(n, 1)), F.lit(TIMES - 1)).cast("int")
-    return rows.join(before, "file").select("doc_id", "text", time.alias("time"))
+    # texts stay where they are read
+    return rows.join(F.broadcast(before), "file").select("doc_id", "text", time.alias("time"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     texts than a sequence are cut. Repeated rows are documents of their own. An empty table gives no rows, and no column's
     name matters but doc_id's and text's.
     """
-    return packing.pack(checkpoint(packing.pieces(_time(docs), carried=("time",))), by="time")
+    return packing.pack(checkpoint(packing.pieces(_time(docs), carried=("time",), room=1 << 20, keep=False)), by="time")
 
 
 STAGES = [
