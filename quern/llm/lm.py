@@ -11,10 +11,9 @@ That probability is where a second-order model of words backs off to: P(w | u v)
 D t(uv) / c(uv) * P(w | window), with counts c and numbers t of different words after u v over all training documents, and
 D = n1 / (n1 + 2 n2) from their counts of counts. Where u v was never seen, the attention model stands alone.
 
-The fit takes in every training document: counts and classes all of its ids, the gradient steps a window of each SPAN ids,
-from a place in them that a hash chooses. A start, fitted on the windows of some batches, goes to shards of windows; each
-shard moves it by one pass over its windows, and the moves are averaged, by windows and for an id's own vector by the
-id's occurrences.
+The fit takes in every training document: counts, classes and gradient steps all of its ids, each as the target of one
+window. A start, fitted on the windows of some batches, is where every shard of windows sets out; each shard moves it by one
+pass over its windows, and the moves are averaged, by windows and for an id's own vector by the id's occurrences.
 
 Documents travel in batches. Words and their contexts are counted by hash (96 bits for words, 64 for contexts and 24 more
 for what follows): a batch sends each different one once to its bucket, and gets the corpus's counts back, so that a
@@ -40,12 +39,14 @@ HELD_OUT, FOLDS = 2, 7
 DIM = 16
 WINDOW = 16
 STRIDE = 12
-#: Ids of a training document that one window of the fit is drawn from.
-SPAN = 512
+#: Ids of a training document that one window of the fit stands for: all of them are its targets.
+SPAN = WINDOW
 #: Windows of a shard, about.
-SHARD_WINDOWS = 100_000
+SHARD_WINDOWS = 500_000
 #: Most frequent ids whose company is counted.
 COMPANY = 128
+#: Blocks of ids in which tasks add up their company.
+COMPANY_BLOCKS = 16
 #: Weight of the classes' counts beside the softmax: classes of ids that no training document has are not ruled out.
 PRIOR = 0.02
 GROUPS = 6
@@ -173,19 +174,19 @@ class Attention:
         return word
 
 
-def _company(windows: np.ndarray, counts: np.ndarray, rows: int = 8192) -> np.ndarray:
+def _company(windows: np.ndarray, counts: np.ndarray, rows: int = 16384) -> np.ndarray:
     """Of each id and each of the most frequent ids, how often windows hold both. windows: ids, -1 after an end."""
     size = len(counts)
     common = np.argsort(-counts, kind="stable")[:COMPANY]
-    col = np.full(size + 1, -1)
+    col = np.full(size + 1, -1, np.int32)
     col[common] = np.arange(len(common))
     company = np.zeros(size * len(common), np.int64)
-    other = ~np.eye(windows.shape[1], dtype=bool)
     for k in range(0, len(windows), rows):
-        ids = windows[k : k + rows].astype(np.int64)
-        f = col[ids][:, None, :]
-        key = ids[:, :, None] * len(common) + f
-        company += np.bincount(key[(f >= 0) & (ids[:, :, None] >= 0) & other], minlength=len(company))
+        ids = windows[k : k + rows]
+        w, place = np.nonzero((col[ids] >= 0) & (ids >= 0))
+        key = ids[w].astype(np.int32) * np.int32(len(common)) + col[ids[w, place]][:, None]
+        key[np.arange(len(w)), place] = -1
+        company += np.bincount(key[key >= 0], minlength=len(company))
     return company.reshape(size, len(common)).astype(np.float32)
 
 
@@ -247,23 +248,24 @@ def _descend(model: Attention, windows: np.ndarray, picks: Iterable[np.ndarray],
     for step, pick in enumerate(picks, 1):
         i, y = np.maximum(windows[pick, :-1], 0), windows[pick, 1:]
         x, q, k, v, a, c, h = model.attend(cls_in[i], i)
-        ok = y >= 0
-        z = h[ok] @ w["out"] + w["bias"]
-        z -= z.max(axis=-1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=-1, keepdims=True)
-        p[np.arange(len(p)), cls[y[ok]]] -= 1
-        p /= max(1, len(p))
-        g = {"out": h[ok].T @ p, "bias": p.sum(axis=0)}
-        dh = np.zeros_like(h)
-        dh[ok] = p @ w["out"].T
+        # classes before places: sums and maxima run over the first axis
+        ok = np.flatnonzero(y.ravel() >= 0)
+        h = flat(h)[ok]
+        p = w["out"].T @ h.T + w["bias"][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0) * np.float32(max(1, len(ok)))
+        p[cls[y.ravel()[ok]], np.arange(len(ok))] -= np.float32(1 / max(1, len(ok)))
+        g = {"out": (p @ h).T, "bias": p.sum(axis=1)}
+        dh = np.zeros_like(x)
+        flat(dh)[ok] = (w["out"] @ p).T
         g["mix"] = flat(c).T @ flat(dh)
-        dc = dh @ w["mix"].T
+        dc = (flat(dh) @ w["mix"].T).reshape(dh.shape)
         da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * DIM**-0.5
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=-1)
-        g["qkv"] = flat(x).T @ flat(dqkv)
-        dx = dh + dqkv @ w["qkv"].T
+        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(DIM**-0.5)
+        dqkv = flat(np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=-1))
+        g["qkv"] = flat(x).T @ dqkv
+        dx = dh + (dqkv @ w["qkv"].T).reshape(dh.shape)
         g["place"] = dx.sum(axis=0)
         # only the ids of this batch move
         order = np.argsort(i, axis=None, kind="stable")
@@ -344,19 +346,17 @@ class Coded:
         seq, _ = gathered(self.ids, self.size, self.at)
         return seq, self.sums(self.size[self.at])
 
-    def windows(self, batch: int) -> np.ndarray:
-        """A window (the id before, then WINDOW ids) of each SPAN ids of each training document; -1 after its end, the
-        number after the last id before its start."""
+    def windows(self, _batch: int = 0) -> np.ndarray:
+        """The windows (the id before, then WINDOW ids) of all training documents, one after the other; -1 after a
+        document's end, -2 before its start."""
         seq, n = self.sequence()
         base = np.cumsum(n) - n
         doc = np.flatnonzero(~self.held)
         k = -(-n[doc] // SPAN)
         owner = np.repeat(doc, k)
         span = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        room = np.minimum(SPAN, n[owner] - span * SPAN)
-        dice = _mix(_U(batch) + _mix(owner.astype(_U) + _mix(span.astype(_U))))
-        place = (span * SPAN + (dice % room.astype(_U)).astype(np.int64))[:, None] + np.arange(-1, WINDOW)
-        out = seq[base[owner, None] + np.clip(place, 0, n[owner, None] - 1)].astype(np.int64)
+        place = (span * SPAN)[:, None] + np.arange(-1, WINDOW)
+        out = seq[base[owner, None] + np.clip(place, 0, n[owner, None] - 1)].astype(np.int32)
         out[place >= n[owner, None]] = -1
         out[place < 0] = -2
         return out
@@ -501,41 +501,32 @@ def _summed(parts: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
     return {r["key"]: (r["n"], np.frombuffer(r["v"], "<f4")) for r in rows}
 
 
-def _drawn(coded: DataFrame, shards: int, size: int) -> DataFrame:
-    """shard, batch, n, windows binary: the windows of each batch, written."""
+def _few(coded: DataFrame, n: int) -> DataFrame:
+    """The batches in few enough partitions that each has about SHARD_WINDOWS of all n windows."""
+    return coded.select("batch", "held", "n", "at", "ids", "size").coalesce(max(1, round(n / SHARD_WINDOWS)))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for k, batch in enumerate(b.column("batch").to_pylist()):
-                windows = Coded.read(b, k).windows(batch)
-                windows[windows == -2] = size  # before the start
-                if len(windows):
-                    shard = int(_mix(np.array([batch], _U))[0] % _U(shards))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (batch, pa.int64()), (len(windows), pa.int64()), (windows.astype("<i4").tobytes(), pa.binary()))], ["shard", "batch", "n", "windows"])
 
-    return materialise(coded.mapInArrow(run, "shard long, batch long, n long, windows binary"), "windows")
-
-
-def _windows(raw: Iterable[bytes]) -> np.ndarray:
-    return np.concatenate([np.zeros((0, WINDOW + 1), np.int32), *(np.frombuffer(x, "<i4").reshape(-1, WINDOW + 1) for x in raw)])
-
-
-def _by_shard(drawn: DataFrame, f) -> DataFrame:
-    """Rows of SUMS that f(windows, shard) makes of each shard's windows."""
+def _shards(coded: DataFrame, size: int, n: int, f, schema: str) -> DataFrame:
+    """What f makes of each shard: windows in the order of the table, of a partition or SHARD_WINDOWS and the rest of a
+    batch, whichever is less; and the number of its first batch. size stands for the id before a document's start."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        first, held = None, []
         for b in it:
-            for k, raw in zip(b.column("shard").to_pylist(), b.column("windows").to_pylist(), strict=True):
-                if k != now and held:
-                    yield from f(_windows(held), now)
-                    held = []
-                now = k
-                held.append(raw)
+            for k, batch in enumerate(b.column("batch").to_pylist()):
+                windows = Coded.read(b, k).windows()
+                windows[windows == -2] = size
+                if not len(windows):
+                    continue
+                first = batch if first is None else first
+                held.append(windows)
+                if sum(map(len, held)) >= SHARD_WINDOWS:
+                    yield from f(np.concatenate(held), first)
+                    first, held = None, []
         if held:
-            yield from f(_windows(held), now)
+            yield from f(np.concatenate(held), first)
 
-    return drawn.repartition("shard").sortWithinPartitions("shard", "batch").select("shard", "windows").mapInArrow(run, SUMS)
+    return _few(coded, n).mapInArrow(run, schema)
 
 
 def _passed(model: Attention, windows: np.ndarray, shard: int) -> Iterator[pa.RecordBatch]:
@@ -555,38 +546,59 @@ def _passed(model: Attention, windows: np.ndarray, shard: int) -> Iterator[pa.Re
         yield _sums(j.tolist(), shard, times[j].astype(float), (w["id"][j] - model.w["id"][j]) * times[j, None])
 
 
+def _windows_of(coded: DataFrame, some: list[int], size: int) -> np.ndarray:
+    """The windows of a few batches, in their order."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k, batch in enumerate(b.column("batch").to_pylist()):
+                windows = Coded.read(b, k).windows()
+                windows[windows == -2] = size
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([zstandard.compress(windows.astype("<i4").tobytes(), 1)], pa.binary())], ["batch", "windows"])
+
+    found = coded.where(F.col("batch").isin(some)).mapInArrow(run, "batch long, windows binary").collect() if some else []
+    raw = [zstandard.decompress(bytes(r["windows"])) for r in sorted(found, key=lambda r: r["batch"])]
+    return np.concatenate([np.zeros((0, WINDOW + 1), np.int32), *(np.frombuffer(x, "<i4").reshape(-1, WINDOW + 1) for x in raw)])
+
+
 def fit(coded: DataFrame, tokenizer: str = TOKENIZER) -> Attention:
     """The model, from all training documents of a table of batches. Reruns agree to rounding."""
     context = coded.sparkSession.sparkContext
     pieces = Pieces(tokenizer)
     begins, counts = pieces.begins(), _id_counts(coded, pieces.size)
     n = coded.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0]
-    drawn = _drawn(coded, max(1, round(n / SHARD_WINDOWS)), pieces.size)
     shared = context.broadcast(counts)
+    common = min(COMPANY, pieces.size)
+    rows = -(-pieces.size // COMPANY_BLOCKS)
 
     def company_of(windows: np.ndarray, shard: int) -> Iterator[pa.RecordBatch]:
-        company = _company(windows[:, 1:], shared.value)
-        u = np.flatnonzero(company.any(axis=1))
-        for k in range(0, len(u), 4096):
-            yield _sums(u[k : k + 4096].tolist(), shard, np.zeros(len(u[k : k + 4096])), company[u[k : k + 4096]])
-
-    company = np.zeros((pieces.size, min(COMPANY, pieces.size)), np.float32)
-    for k, (_, v) in _summed(_by_shard(drawn, company_of)).items():
-        company[k] = v
-    # the start sees the windows of enough batches for its steps, chosen by a hash
-    few = drawn.select("batch", "n", F.xxhash64("batch").alias("h"))
-    few = few.orderBy("h").limit(max(1, STEPS * BATCH // 1000)).collect()
+        company = _company(windows[:, 1:], shared.value).astype("<u4")
+        raw = [zstandard.compress(company[k * rows : (k + 1) * rows].tobytes(), 1) for k in range(COMPANY_BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COMPANY_BLOCKS), pa.int32()), pa.array(raw, pa.binary())], ["block", "v"])
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for k, raw in zip(b.column("block").to_pylist(), b.column("v").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64)
+        raw = [zstandard.compress(x.astype("<f4").tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], ["block", "v"])
+
+    company = np.zeros((pieces.size, common), np.float32)
+    blocks = _shards(coded, pieces.size, n, company_of, "block int, v binary").repartition(COMPANY_BLOCKS, "block").mapInArrow(add, "block int, v binary")
+    for r in blocks.collect():  # the vocabulary's size
+        company[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(zstandard.decompress(bytes(r["v"])), "<f4").reshape(-1, common)
+    # the start is fitted to the windows of enough batches for its steps, chosen by a hash; what follows goes over all
     enough, some = 0, []
-    for r in few:
+    for r in coded.select("batch", "n_windows", F.xxhash64("batch").alias("h")).orderBy("h").limit(max(1, STEPS * BATCH // 1000)).collect():
         if enough < STEPS * BATCH // 2:
             some.append(r["batch"])
-            enough += r["n"]
-    sample = _windows(bytes(r["windows"]) for r in drawn.where(F.col("batch").isin(some)).orderBy("batch").select("windows").collect()) if some else _windows([])
-    start = started(sample, company, counts, begins, steps=STEPS)
+            enough += r["n_windows"]
+    start = started(_windows_of(coded, some, pieces.size), company, counts, begins, steps=STEPS)
     model = context.broadcast(start)
     w = {k: v.copy() for k, v in start.w.items()}
     dense = [k for k in w if k != "id"]
-    for k, (m, v) in _summed(_by_shard(drawn, lambda windows, shard: _passed(model.value, windows, shard))).items():
+    for k, (m, v) in _summed(_shards(coded, pieces.size, n, lambda windows, shard: _passed(model.value, windows, shard), SUMS)).items():
         if k < 0:
             w[dense[-1 - k]] += (v / m).reshape(w[dense[-1 - k]].shape)
         else:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_llm import brute_groups, rows_of, texts_of
 
-from quern.llm import simhash
+from quern.llm import lm, simhash
 
 
 def groups_of(spark, texts):
@@ -56,3 +57,31 @@ def test_shared_keys_over_batches(spark, rows):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(k, n, keys.index(k)) for n, k in enumerate(keys) if keys.count(k) > 1]
+
+
+def test_lm_fits_every_id_of_every_training_document():
+    pieces = lm.Pieces("byte_bpe_50k.json")
+    texts = ["", "one", *(" ".join(f"w{i * k % 97}" for i in range(40 * k)) for k in range(1, 40))]
+    held = np.arange(len(texts)) % 5 == 1
+    coded = lm.Coded.of(pa.array(texts), held, pieces)
+    seq, n = coded.sequence()
+    want = np.concatenate([x for x, h in zip(np.split(seq, np.cumsum(n)[:-1]), held, strict=True) if not h])
+    targets = coded.windows(0)[:, 1:].ravel()
+    assert (targets[targets >= 0] == want).all()
+
+
+@pytest.mark.parametrize("most", [7, 500_000])
+def test_lm_shards_hold_every_window(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    coded = lm.code(docs)
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", most)
+    size = lm.Pieces("byte_bpe_50k.json").size
+    n = coded.agg({"n_windows": "sum"}).first()[0]
+
+    def f(windows, shard):
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(windows)]), pa.array([int((windows[:, 1:] >= 0).sum())])], ["shard", "n", "ids"])
+
+    got = rows_of(lm._shards(coded, size, n, f, "shard long, n long, ids long"))
+    assert sum(r["n"] for r in got) == n and len({r["shard"] for r in got}) == len(got)
+    assert sum(r["ids"] for r in got) == int(lm._id_counts(coded, size).sum())
