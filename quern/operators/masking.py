@@ -77,12 +77,22 @@ def span_mask(rows: DataFrame, batch: str, key: str, seed: str, ratio: float = R
 def permuted(sentences: Column, key: Column, seed: str, ratio: float) -> Column:
     """An array of sentences, of which a share, rounded up, change places among each other: those whose hashes sort first
     move to their places in the order of another hash."""
-    n = F.size(sentences)
-    most = F.ceil(n * F.lit(ratio)).cast("int")
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda _: n > 0)
+    # a value that a lambda takes is computed once, however often it is used
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     dice = lambda name, i: F.md5(F.concat_ws("-", F.lit(f"{seed}-{name}"), key.cast("string"), i.cast("string")).cast("binary"))
-    order = lambda name, of: F.transform(F.array_sort(F.transform(of, lambda i: F.struct(dice(name, i).alias("d"), i.alias("i")))), lambda x: x["i"])
-    moving = F.slice(order("pick", places), 1, most)
-    to = order("place", moving)
-    source = lambda i: F.when(F.array_contains(moving, i), F.element_at(to, F.array_position(moving, i).cast("int"))).otherwise(i)
-    return F.transform(places, lambda i: F.element_at(sentences, source(i)))
+    order = lambda name, of: F.transform(F.sort_array(F.transform(of, lambda i: F.struct(dice(name, i).alias("d"), i.alias("i")))), lambda x: x["i"])
+    pair = lambda i, source: F.struct(i.alias("i"), source.alias("source"))
+
+    def moved(s: Column) -> Column:
+        n = F.size(s)
+        most = F.ceil(n * F.lit(ratio)).cast("int")
+        places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda _: n > 0)
+
+        def sources(picked: Column) -> Column:
+            moving = F.slice(picked, 1, most)
+            rest = F.transform(F.slice(picked, most + 1, F.greatest(n, F.lit(1))), lambda i: pair(i, i))
+            return F.sort_array(F.concat(F.zip_with(moving, order("place", moving), pair), rest))
+
+        return F.transform(once(order("pick", places), sources), lambda x: F.element_at(s, x["source"]))
+
+    return once(sentences, moved)

@@ -318,3 +318,24 @@ def test_tables(spark):
     got = {r["block"]: r["owner"] for r in G.merged_blocks(chain, spark.createDataFrame([(3,), (20,)], "block long")).collect()}
     assert got == {i: None if i < 3 else 3 if i < 20 else 20 for i in range(40)}
     assert T.decoration_rules()[0][0].startswith("_+")
+
+
+def test_permuted_long_texts(spark):
+    """Work grows with a text's lines, not with their square: these took minutes once."""
+    import hashlib
+    import math
+    import time
+
+    texts = {k: [f"line {i} of {k}" for i in range(n)] for k, n in ((1, 1), (2, 2), (3, 5), (4, 3000))}
+
+    def plain(key, s):
+        dice = lambda name, i: (hashlib.md5(f"p-{name}-{key}-{i}".encode()).hexdigest(), i)
+        moving = sorted(range(1, len(s) + 1), key=lambda i: dice("pick", i))[: math.ceil(len(s) * 0.5)]
+        source = dict(zip(moving, sorted(moving, key=lambda i: dice("place", i)), strict=True))
+        return [s[source.get(i, i) - 1] for i in range(1, len(s) + 1)]
+
+    rows = spark.createDataFrame(list(texts.items()), "k long, s array<string>")
+    t = time.time()
+    got = {r["k"]: r["s"] for r in rows.select("k", M.permuted(F.col("s"), F.col("k"), "p", 0.5).alias("s")).collect()}
+    assert time.time() - t < 30
+    assert got == {k: plain(k, s) for k, s in texts.items()}
