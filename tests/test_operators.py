@@ -339,3 +339,23 @@ def test_permuted_long_texts(spark):
     got = {r["k"]: r["s"] for r in rows.select("k", M.permuted(F.col("s"), F.col("k"), "p", 0.5).alias("s")).collect()}
     assert time.time() - t < 30
     assert got == {k: plain(k, s) for k, s in texts.items()}
+
+
+def test_nearest_with_ties_and_many_vectors(spark):
+    """The block's top ones without sorting all of it: ties, near ties and zero vectors."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (700, 6)).astype(float)  # many equal directions
+    v[350:] += rng.normal(size=(350, 6)) * 1e-7
+    v[:3] = 0
+    rows = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    sim = np.round(np.einsum("ik,jk->ij", u, u), 9)
+    np.fill_diagonal(sim, -np.inf)
+    for block in (7, 300, 5000):
+        got = {(r["a"] // 3, r["rk"]): (r["b"] // 3, r["sim"]) for r in Q.nearest(rows, 5, block).collect()}
+        assert len(got) == 5 * 700
+        for i in range(700):
+            want = np.sort(sim[i])[::-1][:5]
+            assert np.allclose([got[i, k][1] for k in range(1, 6)], want, atol=1.5e-9)
+            assert all(abs(sim[i, got[i, k][0]] - got[i, k][1]) < 1.5e-9 for k in range(1, 6)) and len({got[i, k][0] for k in range(1, 6)}) == 5
