@@ -22,8 +22,10 @@ frequent word costs a bucket one entry a batch.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import TOKENIZER, Encoder, batches, gathered, materialise, strings
+from quern.llm.common import TOKENIZER, Encoder, batches, gathered, materialise
 
 HELD_OUT, FOLDS = 2, 7
 DIM = 16
@@ -54,15 +56,19 @@ START_BINS, GO_BINS = 8, 4
 STEPS = 700
 BATCH = 128
 #: Windows that are scored at once.
-CHUNK = 128
+CHUNK = 512
 #: Windows of a step, and the highest rate, of the pass over a shard.
 PASS_BATCH = 512
 PASS_RATE = 0.005
+#: Places whose classes are held at once in a step.
+PLACES = 2048
 #: Bytes of text of a batch, and different keys of a bucket, about.
 BATCH_BYTES = 6 << 20
 KEYS = 1_000_000
 #: The end of a document among words: it holds a space, so that no word equals it.
 END = " "
+#: Words whose ids a worker keeps.
+KNOWN = 600_000
 _U = np.uint64
 
 
@@ -71,9 +77,20 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Pieces:
-    """Subword ids of single words. A word is encoded with a space before it; the end is one id of its own."""
+    """Subword ids of single words. A word is encoded with a space before it; the end is one id of its own. The last KNOWN
+    words, about, are looked up instead of encoded again."""
+
+    _made: dict[str, Pieces] = {}
+
+    @classmethod
+    def get(cls, tokenizer: str) -> Pieces:
+        """One for all tasks of a worker."""
+        if tokenizer not in cls._made:
+            cls._made[tokenizer] = cls(tokenizer)
+        return cls._made[tokenizer]
 
     def __init__(self, tokenizer: str):
+        self.known = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.encoder = Encoder.get(tokenizer)
         self.size = self.encoder.tokenizer.get_vocab_size() + 1
         self.end = self.size - 1
@@ -83,18 +100,89 @@ class Pieces:
         vocab = self.encoder.tokenizer
         return np.array([str(vocab.id_to_token(i) or "").startswith("Ġ") for i in range(self.size - 1)] + [True])
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in a row, and how many each word has."""
-        ids, n = self.encoder.words(pa.array([w for w in words if w != END], pa.string()))
-        for k in [k for k, w in enumerate(words) if w == END]:
-            at = int(n[:k].sum())
-            ids, n = np.insert(ids, at, self.end), np.insert(n, k, 1)
-        return ids.astype(np.int32), n
+    def of(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and how many each word has. The end may be among the words once or more."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        known, ids, size = self.known
+        at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+        ends = pc.equal(words, END).to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero((at < 0) & ~ends)
+        new = words.take(pa.array(fresh))
+        new_ids, new_size = self.encoder.words(new)
+        at[fresh] = len(size) + np.arange(len(fresh))
+        at[ends] = len(size) + len(fresh)
+        ids, size = np.concatenate([ids, new_ids.astype(np.int32), [np.int32(self.end)]]), np.concatenate([size, new_size, [1]])
+        out = gathered(ids, size, at)[0], size[at]
+        if len(known) + len(new) <= KNOWN:
+            self.known = pa.concat_arrays([known, new]), ids[:-1], size[:-1]
+        else:  # those of the last words
+            at = at[~ends]
+            self.known = words.filter(pa.array(~ends)), gathered(ids, size, at)[0], size[at]
+        return out
 
 
 # the attention model ------------------------------------------------------------------------------------------------
 
 
+#: Rows of a product: BLAS is several times as quick on stacks of small products as on long thin ones.
+ROWS = 128
+
+
+def _exps(logits: Callable[[], np.ndarray], sums: Callable[[np.ndarray], np.ndarray], part: np.ndarray | None = None, axis: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits(), 0 where part is, and their sums; where sums leave the range of floats, those of the
+    differences from the greatest along the axis."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        z = logits()
+        np.exp(z, out=z)
+        if part is not None:
+            z *= part
+        total = sums(z)
+        if total.size and not (total.min() > 1e-25 and total.max() < 1e25):
+            z = logits()
+            if part is not None:
+                z += np.where(part > 0, np.float32(0), np.float32(-np.inf))
+            z -= z.max(axis=axis, keepdims=True)
+            np.exp(z, out=z)
+            total = sums(z)
+    return z, total
+
+
+@contextmanager
+def _memory_kept() -> Iterator[None]:
+    """Meanwhile, freed memory stays with the process for the arrays that follow: to give back and fault in the pages of
+    each is a fifth of the time. After it what is free goes back. No effect on other allocators than glibc's."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20), libc.mallopt(-1, 64 << 20)  # what is mapped apart, and what the heap's top keeps
+    except (AttributeError, OSError):
+        libc = None
+    try:
+        yield
+    finally:
+        if libc is not None and hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
+def _stacked(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of t in stacks of ROWS, and the rest."""
+    k = len(t) // ROWS * ROWS
+    return t[:k].reshape(-1, ROWS, t.shape[1]), t[k:]
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, for a with many rows."""
+    out = np.empty((len(a), b.shape[1]), np.float32)
+    for x, y in zip(_stacked(a), _stacked(out), strict=True):
+        np.matmul(x, b, out=y)
+    return out
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, for a and b with many rows."""
+    (x, x_rest), (y, y_rest) = _stacked(a), _stacked(b)
+    return (x.transpose(0, 2, 1) @ y).sum(axis=0) + x_rest.T @ y_rest
+
+
 @dataclass
 class Attention:
     cls: np.ndarray  # class of each id; the classes of ids that start words come first
@@ -104,20 +192,6 @@ class Attention:
     prior: np.ndarray  # each class's part of the counts
     w: dict[str, np.ndarray]
 
-    def attend(self, cls: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What each place of (windows, WINDOW) inputs makes of itself and the places before, last; the rest is for gradients."""
-        w = self.w
-        x = w["class"][cls] + w["id"][ids] + w["place"]
-        qkv = x @ w["qkv"]
-        q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-        s = q @ k.transpose(0, 2, 1)
-        s *= DIM**-0.5
-        s += np.triu(np.full((WINDOW, WINDOW), -1e4, np.float32), 1)
-        np.exp(s - s.max(axis=-1, keepdims=True), out=s)
-        s /= s.sum(axis=-1, keepdims=True)
-        c = s @ v
-        return x, q, k, v, s, c, x + c @ w["mix"]
-
     def factors(self, seq: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each id of sequences in a row (n: their lengths): its log factor, and at ids that start a word the log
         probability that the word before has ended. An id that starts a word counts among those that do."""
@@ -126,43 +200,44 @@ class Attention:
         m = np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1
         owner = np.repeat(np.arange(len(n)), m)
         start = (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)) * STRIDE
-        # what follows is attend() with one table for ids and single products
         w = self.w
         out, ended = np.zeros(len(seq), np.float32), np.zeros(len(seq), np.float32)
         inputs = w["id"] + w["class"][np.append(self.cls, len(w["class"]) - 1)]
-        qkv = w["qkv"].copy()
-        qkv[:, :DIM] *= DIM**-0.5
-        # sums and maxima run over the first of two axes, where they are quick: keys before queries, classes before places
-        future = np.tril(np.full((WINDOW, WINDOW), -np.inf, np.float32), -1)
-        steps, last, bias = np.arange(WINDOW), np.ascontiguousarray(w["out"].T), w["bias"][:, None]
-        starting_classes = (np.arange(len(self.prior)) < self.n_first).astype(np.float32)
-        prior = (PRIOR * self.prior).astype(np.float32)[:, None]
+        parts = [np.ascontiguousarray(x) for x in np.split(w["qkv"], 3, axis=1)]
+        parts[0] *= DIM**-0.5
+        turned = lambda t: np.ascontiguousarray(t.transpose(0, 2, 1))
+        last = np.vstack([w["out"], w["bias"]])
+        steps, past, in_window = np.arange(WINDOW), np.tril(np.ones((WINDOW, WINDOW), np.float32)), np.ones(WINDOW, np.float32)
+        starting_classes = np.arange(len(self.prior)) < self.n_first
+        whole, starting_part = np.ones((len(self.prior), 1), np.float32), starting_classes[:, None].astype(np.float32)
+        prior = (PRIOR * self.prior).astype(np.float32)
+        prior_starting = prior[starting_classes].sum()
+        done = 0
         for i in range(0, len(owner), CHUNK):
-            j = slice(i, i + CHUNK)
-            own = owner[j]
-            end, origin, place = n[own, None], base[own, None], start[j, None] + steps
-            at = origin + np.minimum(place, end - 1)
-            new = (place < end) & ((start[j, None] == 0) | (steps >= WINDOW - STRIDE))
-            before = np.where(place == 0, bos, seq[np.maximum(at - 1, 0)])
+            begin, own = start[i : i + CHUNK, None], owner[i : i + CHUNK]
+            end, origin, place = n[own, None], base[own, None], begin + steps
+            new = (place < end) & ((begin == 0) | (steps >= WINDOW - STRIDE))
+            before = seq.take(origin + place - 1, mode="clip")
+            before[begin.ravel() == 0, 0] = bos
             take = np.flatnonzero(new.ravel())
-            x = (inputs[before] + w["place"]).reshape(-1, DIM)
-            y = (x @ qkv).reshape(-1, WINDOW, 3 * DIM)
-            s = y[..., DIM : 2 * DIM] @ y[..., :DIM].transpose(0, 2, 1)
-            s += future
-            s -= s.max(axis=1, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(axis=1, keepdims=True)
-            c = (s.transpose(0, 2, 1) @ y[..., 2 * DIM :]).reshape(-1, DIM)[take]
-            z = last @ (x[take] + c @ w["mix"]).T + bias
-            z -= z.max(axis=0)
-            np.exp(z, out=z)
-            z *= (1 - PRIOR) / z.sum(axis=0)
-            z += prior
-            where = at.ravel()[take]
-            ids = seq[where]
-            starting, starts = np.log(starting_classes @ z), self.first[ids]
-            out[where] = np.log(z[self.cls[ids], np.arange(len(ids))]) - np.where(starts, starting, 0.0)
-            ended[where] = np.where(starts & (place.ravel()[take] > 0), starting, 0.0)
+            x = inputs.take(before, axis=0)
+            x += w["place"]
+            flat = x.reshape(-1, DIM)
+            q, k, v = (_product(flat, e).reshape(x.shape) for e in parts)
+            s, total = _exps(lambda q=q, k=turned(k): q @ k, lambda s: s.reshape(-1, WINDOW) @ in_window, past)
+            c = (s @ v).reshape(-1, DIM)
+            c /= total[:, None]
+            h = np.ones((len(take), DIM + 1), np.float32)
+            np.add(flat.take(take, axis=0), _product(c.take(take, axis=0), w["mix"]), out=h[:, :DIM])
+            z, total = _exps(lambda h=h: _product(h, last), lambda z: _product(z, whole)[:, 0])
+            part = np.float32(1 - PRIOR) / total
+            # every id is new in one window, and windows are in order
+            j = slice(done, done + len(take))
+            done += len(take)
+            cls, starts = self.cls.take(seq[j]), self.first.take(seq[j])
+            starting = np.log(_product(z, starting_part)[:, 0] * part + prior_starting)
+            out[j] = np.log(z.ravel().take(np.arange(len(take)) * z.shape[1] + cls) * part + prior.take(cls)) - np.where(starts, starting, 0)
+            ended[j] = np.where(starts & (place.ravel().take(take) > 0), starting, 0)
         return out + self.share[seq], ended
 
     def words(self, seq: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -174,20 +249,26 @@ class Attention:
         return word
 
 
-def _company(windows: np.ndarray, counts: np.ndarray, rows: int = 16384) -> np.ndarray:
+def _company(windows: np.ndarray, counts: np.ndarray, rows: int = 32768) -> np.ndarray:
     """Of each id and each of the most frequent ids, how often windows hold both. windows: ids, -1 after an end."""
     size = len(counts)
     common = np.argsort(-counts, kind="stable")[:COMPANY]
-    col = np.full(size + 1, -1, np.int32)
-    col[common] = np.arange(len(common))
-    company = np.zeros(size * len(common), np.int64)
+    n = len(common)
+    # rows go by frequency, so that those in use lie together; the last is that of no id
+    by = np.argsort(-counts, kind="stable")
+    rank = np.full(size + 1, size)
+    rank[by] = np.arange(size)
+    company = np.zeros((size + 1) * n, np.uint32)
     for k in range(0, len(windows), rows):
-        ids = windows[k : k + rows]
-        w, place = np.nonzero((col[ids] >= 0) & (ids >= 0))
-        key = ids[w].astype(np.int32) * np.int32(len(common)) + col[ids[w, place]][:, None]
-        key[np.arange(len(w)), place] = -1
-        company += np.bincount(key[key >= 0], minlength=len(company))
-    return company.reshape(size, len(common)).astype(np.float32)
+        ids = rank.take(windows[k : k + rows], mode="wrap")
+        w, place = np.nonzero(ids < n)
+        held = ids[w, place]
+        key = ids.take(w, axis=0)
+        key *= n
+        key += held[:, None]
+        company += np.bincount(key.ravel(), minlength=len(company)).astype(np.uint32)
+        company[np.arange(n) * (n + 1)] -= np.bincount(held, minlength=n).astype(np.uint32)  # a place is no company of its own
+    return company.reshape(size + 1, n).take(rank[:size], axis=0).astype(np.float32)
 
 
 def _classes(company: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,44 +324,76 @@ def _descend(model: Attention, windows: np.ndarray, picks: Iterable[np.ndarray],
     """Moves the model's weights by a step for each pick of windows; top: the highest rate."""
     w, cls = model.w, model.cls
     cls_in = np.append(cls, len(w["class"]) - 1)
-    m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    # all weights but those of ids are parts of one row
+    dense = [k for k in w if k != "id"]
+    ends = np.cumsum([w[k].size for k in dense])
+    row = np.concatenate([w[k].ravel() for k in dense])
+    w.update((k, x.reshape(w[k].shape)) for k, x in zip(dense, np.split(row, ends[:-1]), strict=True))
+    m1, m2, m2_id = np.zeros_like(row), np.zeros_like(row), np.zeros_like(w["id"])
     flat = lambda t: t.reshape(-1, t.shape[-1])
+    turned = lambda t: np.ascontiguousarray(t.transpose(0, 2, 1))
+    past, scale = np.tril(np.ones((WINDOW, WINDOW), np.float32)), np.float32(DIM**-0.5)
+    in_window, in_classes = np.ones(WINDOW, np.float32), np.ones(len(w["bias"]), np.float32)
+    h = np.ones((0, DIM + 1), np.float32)
     for step, pick in enumerate(picks, 1):
-        i, y = np.maximum(windows[pick, :-1], 0), windows[pick, 1:]
-        x, q, k, v, a, c, h = model.attend(cls_in[i], i)
-        # classes before places: sums and maxima run over the first axis
-        ok = np.flatnonzero(y.ravel() >= 0)
-        h = flat(h)[ok]
-        p = w["out"].T @ h.T + w["bias"][:, None]
-        p -= p.max(axis=0)
-        np.exp(p, out=p)
-        p /= p.sum(axis=0) * np.float32(max(1, len(ok)))
-        p[cls[y.ravel()[ok]], np.arange(len(ok))] -= np.float32(1 / max(1, len(ok)))
-        g = {"out": (p @ h).T, "bias": p.sum(axis=1)}
-        dh = np.zeros_like(x)
-        flat(dh)[ok] = (w["out"] @ p).T
-        g["mix"] = flat(c).T @ flat(dh)
-        dc = (flat(dh) @ w["mix"].T).reshape(dh.shape)
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dqkv = flat(np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=-1))
-        g["qkv"] = flat(x).T @ dqkv
-        dx = dh + (dqkv @ w["qkv"].T).reshape(dh.shape)
-        g["place"] = dx.sum(axis=0)
+        held = windows.take(pick, axis=0)
+        i, y = np.maximum(held[:, :-1], 0), held[:, 1:].ravel()
+        # each place makes something of itself and of those before it
+        x = w["id"].take(i, axis=0)
+        x += w["class"].take(cls_in.take(i), axis=0)
+        x += w["place"]
+        parts = [np.ascontiguousarray(e) for e in np.split(w["qkv"], 3, axis=1)]
+        q, k, v = (_product(flat(x), e).reshape(x.shape) for e in parts)
+        q *= scale
+        a, total = _exps(lambda q=q, k=turned(k): q @ k, lambda a: flat(a) @ in_window, past)
+        flat(a)[:] /= total[:, None]
+        c = flat(a @ v)
+        if len(h) != len(y):  # with a column of ones, for the bias
+            h = np.ones((len(y), DIM + 1), np.float32)
+        np.add(_product(c, w["mix"]), flat(x), out=h[:, :DIM])
+        last, back = np.vstack([w["out"], w["bias"]]), np.ascontiguousarray(w["out"].T)
+        ok = y >= 0
+        part = (ok / np.float32(max(1, ok.sum()))).astype(np.float32)
+        moved, dh = np.zeros_like(last), np.empty((len(y), DIM), np.float32)
+        for b in range(0, len(y), PLACES):
+            j = slice(b, b + PLACES)
+            p, total = _exps(lambda h=h[j], last=last: _product(h, last), lambda p: p @ in_classes)
+            p.ravel()[np.arange(0, p.size, p.shape[1]) + cls.take(y[j], mode="wrap")] -= total
+            share = (part[j] / total)[:, None]
+            np.multiply(_product(p, back), share, out=dh[j])
+            moved += _inner(h[j] * share, p)
+        g = {"out": moved[:DIM], "bias": moved[DIM], "mix": _inner(c, dh)}
+        dc = _product(dh, np.ascontiguousarray(w["mix"].T)).reshape(x.shape)
+        da = dc @ turned(v)
+        da -= (flat(da * a) @ in_window).reshape(*i.shape, 1)
+        da *= a
+        grads = [flat(e) for e in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc)]
+        grads[0] *= scale
+        g["qkv"] = np.concatenate([_inner(flat(x), e) for e in grads], axis=1)
+        dx = dh
+        for e, weight in zip(grads, parts, strict=True):
+            dx += _product(e, np.ascontiguousarray(weight.T))
+        g["place"] = dx.reshape(len(i), -1).sum(axis=0).reshape(WINDOW, DIM)
         # only the ids of this batch move
-        order = np.argsort(i, axis=None, kind="stable")
-        run = i.ravel()[order]
+        order = np.argsort(i.ravel().astype(np.uint16 if len(cls) < 2**16 else i.dtype), kind="stable")
+        run = i.ravel().take(order)
+        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        u, d = run[at], np.add.reduceat(np.ascontiguousarray(dx.take(order, axis=0).T), at, axis=1)
+        of = cls_in.take(u)
+        order = np.argsort(of.astype(np.uint16), kind="stable")
+        run = of.take(order)
         at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        u, d = run[at], np.add.reduceat(flat(dx)[order], at, axis=0)
         g["class"] = np.zeros_like(w["class"])
-        np.add.at(g["class"], cls_in[u], d)
+        g["class"][run[at]] = np.add.reduceat(d.take(order, axis=1), at, axis=1).T
         rate = top * min(1.0, step / 50) * (1 - step / (steps + 1))
-        for name, e in g.items():
-            m1[name] = 0.9 * m1[name] + 0.1 * e
-            m2[name] = 0.99 * m2[name] + 0.01 * e * e
-            w[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-7)
-        m2["id"][u] += d * d
-        w["id"][u] -= rate * d / (np.sqrt(m2["id"][u]) + 1e-6)
+        e = np.concatenate([g[k].ravel() for k in dense])
+        m1 += 0.1 * (e - m1)
+        m2 += 0.01 * (e * e - m2)
+        row -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
+        d = np.ascontiguousarray(d.T)
+        square = m2_id.take(u, axis=0) + d * d
+        m2_id[u] = square
+        w["id"][u] -= rate * d / (np.sqrt(square) + 1e-6)
 
 
 # batches of documents -----------------------------------------------------------------------------------------------
@@ -307,13 +420,13 @@ class Coded:
         words, owner = words.filter(some), owner[some.to_numpy(zero_copy_only=False)]
         n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
         numbered = words.dictionary_encode()
-        different = [*strings(numbered.dictionary), END]
+        different = pa.concat_arrays([numbered.dictionary, pa.array([END], numbered.dictionary.type)])
         at = np.insert(numbered.indices.to_numpy().astype(np.int64), np.cumsum(n), len(different) - 1)
         # frequent words have small numbers, which take less room
         order = np.argsort(-np.bincount(at, minlength=len(different)), kind="stable")
         number = np.empty_like(order)
         number[order] = np.arange(len(order))
-        ids, size = pieces.of([different[k] for k in order.tolist()])
+        ids, size = pieces.of(different.take(pa.array(order)))
         return cls(number[at], n + 1, held, ids, size)
 
     def record(self, batch: int, doc_ids: pa.Array) -> pa.RecordBatch:
@@ -355,10 +468,11 @@ class Coded:
         k = -(-n[doc] // SPAN)
         owner = np.repeat(doc, k)
         span = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        place = (span * SPAN)[:, None] + np.arange(-1, WINDOW)
-        out = seq[base[owner, None] + np.clip(place, 0, n[owner, None] - 1)].astype(np.int32)
-        out[place >= n[owner, None]] = -1
-        out[place < 0] = -2
+        first = np.cumsum(k) - k
+        out = seq.take((base[owner] + span * SPAN)[:, None] + np.arange(-1, WINDOW), mode="clip").astype(np.int32, copy=False)
+        tail = first + k - 1
+        out[tail] = np.where((k[:, None] - 1) * SPAN + np.arange(-1, WINDOW) < n[doc, None], out[tail], -1)
+        out[first, 0] = -2
         return out
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +498,7 @@ class Coded:
         bucket = (((context >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.uint32)
         key, which, first = _numbered(key)
         bucket = bucket[first]
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 2**16 else bucket, kind="stable")  # by digits, if few
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         times = np.bincount(which[self.learned()], minlength=len(key))
@@ -440,7 +554,7 @@ def code(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, k = Pieces(tokenizer), TaskContext.get().partitionId() << 32
+        pieces, k = Pieces.get(tokenizer), TaskContext.get().partitionId() << 32
         for big in it:
             for b in batches(big, 1 << 16, BATCH_BYTES):
                 coded = Coded.of(b.column("text"), b.column("held").to_numpy(zero_copy_only=False).astype(bool), pieces)
@@ -535,7 +649,8 @@ def _passed(model: Attention, windows: np.ndarray, shard: int) -> Iterator[pa.Re
     n = len(windows)
     order = np.random.default_rng(shard).permutation(n)
     moved = replace(model, w=w)
-    _descend(moved, windows, (order[k : k + PASS_BATCH] for k in range(0, n, PASS_BATCH)), -(-n // PASS_BATCH), PASS_RATE)
+    with _memory_kept():
+        _descend(moved, windows, (order[k : k + PASS_BATCH] for k in range(0, n, PASS_BATCH)), -(-n // PASS_BATCH), PASS_RATE)
     # what follows an end is padding, and no occurrence
     times = np.bincount(windows[:, :-1][windows[:, 1:] >= 0], minlength=len(w["id"]))
     u = np.flatnonzero(times)

@@ -85,3 +85,23 @@ def test_lm_shards_hold_every_window(spark, monkeypatch, most):
     got = rows_of(lm._shards(coded, size, n, f, "shard long, n long, ids long"))
     assert sum(r["n"] for r in got) == n and len({r["shard"] for r in got}) == len(got)
     assert sum(r["ids"] for r in got) == int(lm._id_counts(coded, size).sum())
+
+
+def test_lm_encodes_a_word_once_and_keeps_its_ids(monkeypatch):
+    pieces, plain = lm.Pieces("byte_bpe_50k.json"), lm.Pieces("byte_bpe_50k.json").encoder.words
+    asked = []
+    monkeypatch.setattr(pieces.encoder, "words", lambda w: asked.extend(w.to_pylist()) or plain(w))
+    monkeypatch.setattr(lm, "KNOWN", 60)
+    for words in ([f"w{k}." for k in range(40)], [f"w{k}." for k in range(20, 60)], [f"v{k}é" for k in range(50)], ["v3é", lm.END, "w1."]):
+        ids, size = pieces.of(words)
+        want, n = zip(*(([pieces.end], [1]) if w == lm.END else plain(pa.array([w])) for w in words), strict=True)
+        assert ids.tolist() == np.concatenate(want).tolist() and size.tolist() == np.concatenate(n).tolist()
+    assert len(asked) == 40 + 20 + 50 + 1
+
+
+def test_lm_exponentials_beyond_the_range_of_floats():
+    z = np.array([[300, 299, 500], [-300, -301, 5], [1, 2, 3]], np.float32)
+    part = np.array([1, 1, 0], np.float32)
+    e, total = lm._exps(z.copy, lambda x: x.sum(axis=-1), part)
+    want = np.exp(z.astype(float) - z[:, :2].max(axis=1, keepdims=True)) * part
+    assert np.allclose(e / total[:, None], want / want.sum(axis=1, keepdims=True))
