@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_groups, rows_of, texts_of
 
-from quern.llm import lm, simhash
+from quern.llm import fingerprint, lm, simhash
 
 
 def groups_of(spark, texts):
@@ -105,3 +106,16 @@ def test_lm_exponentials_beyond_the_range_of_floats():
     e, total = lm._exps(z.copy, lambda x: x.sum(axis=-1), part)
     want = np.exp(z.astype(float) - z[:, :2].max(axis=1, keepdims=True)) * part
     assert np.allclose(e / total[:, None], want / want.sum(axis=1, keepdims=True))
+
+
+def test_fingerprint_draws_are_gamma_to_their_tails(spark):
+    h = F.xxhash64("id")
+    rows = spark.range(200_000).select(fingerprint._turned(h).alias("z"), fingerprint._halvings(F.xxhash64(h, F.lit(1))).alias("n"))
+    got = np.array([(r["z"], r["n"], r["x"]) for r in rows.withColumn("x", fingerprint._exponentials(F.col("z"), F.col("n"))).collect()])
+    z, n, x = got.T
+    # the logarithm, then the distribution: 1 - (1 + x) exp(-x)
+    assert np.allclose(x, (n + 1) * np.log(2) - 4 * np.arctanh(z), rtol=0, atol=1e-10) and x.min() > 0
+    x = np.sort(x)
+    assert np.abs(1 - np.exp(-x) * (1 + x) - np.arange(1, len(x) + 1) / len(x)).max() < 2 / np.sqrt(len(x))
+    assert (x > 12).mean() == pytest.approx(13 * np.exp(-12), rel=0.6)
+    assert [spark.range(1).select(fingerprint._halvings(F.lit(v))).first()[0] for v in (0, 2, 6, -1, -(2**63))] == [63, 63, 0, 0, 63]
