@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import without_angles
 from quern.operators.ranks import ranked, running
+from quern.operators.skipgram import WordVectors
 from quern.sources import files
 
 
@@ -101,12 +102,10 @@ def logger(path: str | None = None, name: str = "quern", echo: bool = True) -> l
     return out
 
 
-def save_vectors(model, path: str) -> None:
-    """Word vectors, as Spark ML stores them."""
-    model.write().overwrite().save(path)
+def save_vectors(model: WordVectors, path: str) -> None:
+    """Word vectors as a table (word, v)."""
+    model.rows.write.mode("overwrite").parquet(path)
 
 
-def load_vectors(path: str):
-    from pyspark.ml.feature import Word2VecModel
-
-    return Word2VecModel.load(path)
+def load_vectors(path: str) -> WordVectors:
+    return WordVectors(SparkSession.active().read.parquet(path))

@@ -359,3 +359,78 @@ def test_nearest_with_ties_and_many_vectors(spark):
             want = np.sort(sim[i])[::-1][:5]
             assert np.allclose([got[i, k][1] for k in range(1, 6)], want, atol=1.5e-9)
             assert all(abs(sim[i, got[i, k][0]] - got[i, k][1]) < 1.5e-9 for k in range(1, 6)) and len({got[i, k][0] for k in range(1, 6)}) == 5
+
+
+def test_word_vectors_stay_with_executors(spark):
+    """The driver gets no vector: Spark ML's trainer sent it all of them, and failed by its memory at 313,814 words."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    texts = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat_ws("-", F.col("id"), i)).alias("words"))
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        assert Q.word_vectors(texts).getVectors().count() == 20_000
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+
+
+def test_word_vectors_of_two_topics(spark, monkeypatch):
+    """Words of a topic are neighbours, over several parts and passes, and reruns agree; one part is plain training."""
+    from quern.operators import skipgram as K
+
+    rng = np.random.default_rng(2)
+    texts = [[f"{'ab'[k % 2]}{i}" for i in rng.integers(0, 30, 40)] for k in range(400)]
+    rows = spark.createDataFrame([(x,) for x in [*texts, [], None]], "words array<string>")
+    vectors = lambda **k: {r["word"]: np.array(r["v"], np.float32) for r in Q.word_vectors(rows, size=20, **k).rows.collect()}
+    topics = lambda v: [max((b for b in v if b != a), key=lambda b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))[0] == a[0] for a in v]
+    one = vectors()
+    assert len(one) == 60 and np.mean(topics(one)) > 0.9
+    monkeypatch.setattr(K, "TRAINED", 5000)
+    some, again = vectors(epochs=3), vectors(epochs=3)
+    assert len(some) == 60 and np.mean(topics(some)) > 0.9
+    assert all((some[w] == again[w]).all() for w in some)
+    assert len({tuple(x) for x in K.first_vectors([f"{i}" for i in range(9000)], 20, 1)}) == 9000
+
+
+def test_skipgram_step():
+    """One pair is one step of the plain formulas; a window ends with its text."""
+    from quern.operators import skipgram as K
+
+    v, u = K.first_vectors(["a", "b", "c"], 8, 1), np.full((3, 8), 0.1, np.float32)
+    v0, u0 = v.astype(float), u.astype(float)
+    K.train(np.array([0, 1, 2]), np.array([2, 1]), v, u, 1, (0.025, 0.025), np.random.default_rng(0))
+    s = lambda x: 1 / (1 + np.exp(-x))
+    rng = np.random.default_rng(0)
+    order = rng.permutation(2)
+    rng.integers(1, 2, 3)
+    n = np.minimum(np.searchsorted(np.arange(1.0, 4), rng.random(K.SHARED) * 3, "right"), 2)
+    assert len(order) == 2
+    for a, b in ((0, 1), (1, 0)):  # b is guessed by a
+        d = 0.025 * (1 - s(v0[a] @ u0[b])) * u0[b] - 0.025 * K.NEGATIVE / K.SHARED * sum(s(v0[a] @ u0[i]) * u0[i] for i in n if i != b)
+        assert np.allclose(v[a], v0[a] + d, atol=1e-6)
+    assert np.allclose(v[2], v0[2])
+
+
+def test_nearest_by_tiles(monkeypatch):
+    """Pairs of blocks in small tiles, against all pairs: ties, ids that repeat, and few pairs that may wait."""
+    monkeypatch.setattr(Q, "TILE", (32, 64))
+    monkeypatch.setattr(Q, "WAITING", 300)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-2, 3, (150, 4)).astype(float), rng.standard_normal((101, 4))
+    y[:50] = x[:50]
+    p, q = np.sort(rng.integers(0, 140, 150)), np.arange(101) + 60
+    for same in (True, False):
+        ids, m = ([p, p], [x, x]) if same else ([p, q], [x, y])
+        got = defaultdict(list)
+        for batch in Q.best_of_blocks(ids, m, same, 5):
+            for r in batch.to_pylist():
+                got[r["a"]].append((-r["sim"], r["b"]))
+        unit = [z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in m]
+        sim = np.round(unit[0] @ unit[1].T, 9)
+        want = defaultdict(list)
+        for s, own, other in ((sim, *ids), (sim.T, *ids[::-1]))[: 1 if same else 2]:
+            for i, a in enumerate(own.tolist()):
+                want[a] += sorted((-s[i, j], b) for j, b in enumerate(other.tolist()) if b != a)[:5]
+        assert got.keys() == want.keys()
+        for a in want:
+            g, w = np.array(sorted(got[a])), np.array(sorted(want[a]))
+            assert g.shape == w.shape and np.allclose(g[:, 0], w[:, 0], atol=1.5e-9)
